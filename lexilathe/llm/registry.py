@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["encode", "shared"]
+MODULES = ["language", "encode", "shared"]
 
 
 def queries() -> dict:
