@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["language", "encode", "shared"]
+MODULES = ["language", "neighbours", "encode", "shared"]
 
 
 def queries() -> dict:
