@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lexilathe.session import ensure_checkpoint_dir, settle, table
 
-#: Vectors that the codebooks are fitted on (those of least hash), taken to the driver.
+#: Vectors that the codebooks are fitted on (chosen by hash), taken to the driver.
 SAMPLE = 20_000
 #: Ids of equal vectors that an entry keeps; enough for the neighbours of all of them.
 KEPT = 6
@@ -115,11 +115,12 @@ def build_index(vectors: DataFrame, dim: int, k: int | None = None) -> Index:
     any size costs no more than its rows' reading."""
     spark = vectors.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
-    sample = vectors.orderBy(F.xxhash64("id")).limit(SAMPLE).select("vec").toPandas()["vec"]
+    n = vectors.count()
+    share = F.lit(int((1 << 30) * min(1.0, 1.1 * SAMPLE / max(n, 1))))
+    sample = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= share).select("vec").limit(SAMPLE).toPandas()["vec"]
     x = np.array([np.asarray(v, np.float32) for v in sample]).reshape(-1, dim)
     x /= np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     if k is None:
-        n = vectors.count()
         k = 16 if n < 5_000 else 32 if n < 50_000 else 64 if n < 1_000_000 else 128
     half = dim // 2
     books = [fit_codebook(x[:, :half], k), fit_codebook(x[:, half:], k)] if len(x) else [np.zeros((1, half), np.float32), np.zeros((1, dim - half), np.float32)]
