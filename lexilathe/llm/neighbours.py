@@ -168,10 +168,11 @@ def _merge_copies(rows: pd.DataFrame) -> pd.DataFrame:
     return both.reset_index()[["i", "j", "h", "ids", "vec"]]
 
 
-def search(spark: SparkSession, index: Index, k: int, least: int, floor: float = -2.0) -> DataFrame:
-    """(ids, near array<struct<id, cos>>) of every entry of the index: the k + KEPT most similar ids to its vector (its
+def search(spark: SparkSession, index: Index, k: int, least: int, floor: float = -2.0, copies: bool = True) -> DataFrame:
+    """(i, ids, near array<struct<id, cos>>) of every entry of the index: the k + KEPT most similar ids to its vector (its
     own copies included), most similar first, equal ones by id, no less similar than floor. `least` is the number of
-    candidate entries; fewer than k + KEPT ids come only if there are no more."""
+    candidate entries; fewer than k + KEPT ids come only if there are no more. Without `copies` each entry found is named
+    by its least id alone."""
     big = 4_000  # queries that a task takes at most, so that a hot partition is split
     work = [(i, lo) for i in range(len(index.books[0])) for lo in range(0, int(index.sizes[i].sum()), big)]
     shared = spark.sparkContext.broadcast(index)
@@ -179,13 +180,13 @@ def search(spark: SparkSession, index: Index, k: int, least: int, floor: float =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i, lo in zip(pdf["i"], pdf["lo"]):
-                yield from _search_block(shared.value, int(i), int(lo), big, k, least, floor)
+                yield from _search_block(shared.value, int(i), int(lo), big, k, least, floor, copies)
 
     tasks = spark.createDataFrame(work or [(0, 0)], "i int, lo int").repartition(max(1, len(work)), "i", "lo") if work else spark.createDataFrame([], "i int, lo int")
-    return tasks.mapInPandas(run, "ids array<bigint>, near array<struct<id: bigint, cos: double>>")
+    return tasks.mapInPandas(run, "i int, ids array<bigint>, near array<struct<id: bigint, cos: double>>")
 
 
-def _search_block(index: Index, i: int, lo: int, big: int, k: int, least: int, floor: float) -> Iterator[pd.DataFrame]:
+def _search_block(index: Index, i: int, lo: int, big: int, k: int, least: int, floor: float, copies: bool = True) -> Iterator[pd.DataFrame]:
     _, own_ids, own = index.read(i)
     own_ids, x = own_ids.slice(lo, big), np.ascontiguousarray(own[lo : lo + big])
     del own
@@ -235,10 +236,10 @@ def _search_block(index: Index, i: int, lo: int, big: int, k: int, least: int, f
         held |= {(a << 40) + int(p): v for p, v in zip(wanted, ids.take(pa.array(wanted)).to_pylist())} if len(wanted) else {}
     out = []
     for q in range(n):
-        found = [(float(c), y) for c, m in zip(best[q], name[q]) if m >= 0 for y in held[int(m)]]
+        found = [(float(c), y) for c, m in zip(best[q], name[q]) if m >= 0 for y in held[int(m)][: KEPT if copies else 1]]
         found.sort(key=lambda t: (-t[0], t[1]))
         out.append([{"id": y, "cos": min(1.0, c)} for c, y in found[: k + KEPT]])
-    yield pd.DataFrame({"ids": own_ids.to_pylist(), "near": out})
+    yield pd.DataFrame({"i": np.full(n, i, np.int32), "ids": own_ids.to_pylist(), "near": out})
 
 
 def all_neighbours(vectors: DataFrame, found: DataFrame, k: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mojibake", "language", "neighbours", "encode", "shared"]
+MODULES = ["mojibake", "language", "neighbours", "clusters", "encode", "shared"]
 
 
 def queries() -> dict:
