@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mojibake", "splitting", "language", "neighbours", "scans", "clusters", "encode", "shared"]
+MODULES = ["mojibake", "splitting", "transcripts", "language", "neighbours", "scans", "clusters", "encode", "shared"]
 
 
 def queries() -> dict:
