@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from pyspark.sql import DataFrame, SparkSession
+
+MODULES = ["vector_queries", "text_queries"]
+
 
 def queries() -> dict:
-    return {}
+    found: dict = {}
+    for m in MODULES:
+        found |= import_module(f"lexilathe.plans.{m}").QUERIES
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found: dict = {}
+    for m in MODULES:
+        found |= import_module(f"lexilathe.plans.{m}").SQL
+    return found
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group's dispersion beside its nearest members."""
+    q = queries()
+    return q["centroid_dispersion"](spark, sf_dir).join(q["knn_members"](spark, sf_dir), "grp")
