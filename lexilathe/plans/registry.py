@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["vector_queries", "text_queries"]
+MODULES = ["vector_queries", "text_queries", "model_queries"]
 
 
 def queries() -> dict:
