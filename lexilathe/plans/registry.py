@@ -6,6 +6,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexilathe.session import shipped
+
 MODULES = ["vector_queries", "text_queries", "model_queries"]
 
 
@@ -13,7 +15,7 @@ def queries() -> dict:
     found: dict = {}
     for m in MODULES:
         found |= import_module(f"lexilathe.plans.{m}").QUERIES
-    return found
+    return {name: shipped(f) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
