@@ -225,9 +225,11 @@ def restore_lines(lines: DataFrame, counts: DataFrame) -> DataFrame:
         .groupBy("line").agg(F.collect_list(F.struct("at", "token", "channel", "reading", "strong", "words")).alias("nodes"))
     )
 
+    all_words = float(counts.agg(F.sum("n")).first()[0] or 1) + 1.0
+
     def viterbi(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([(a, *_decode(b)) for a, b in zip(pdf["line"], pdf["nodes"])], columns=["line", "changes", "channels"])
+            yield pd.DataFrame([(a, *_decode(b, all_words)) for a, b in zip(pdf["line"], pdf["nodes"])], columns=["line", "changes", "channels"])
 
     best = scored.mapInPandas(viterbi, "line long, changes map<int, string>, channels array<string>")
     joined = lines.withColumn("line", F.xxhash64(*LINE, "line_text")).join(best, "line", "left")
@@ -250,21 +252,21 @@ def word_keys_lossy(token: str) -> list[str]:
     return out
 
 
-def _cost(x) -> float:
-    """Negative log likelihood of a reading: its words' corpus frequency, and what its channel costs."""
+def _cost(x, all_words: float) -> float:
+    """Negative log likelihood of a reading: its words' share of the corpus, and what its channel costs."""
     total, known = 0.0, True
     for w in x["words"]:
         key, n = w["key"], w["n"]
         if key is None:
             continue
         if not key[0].isalpha() and key[0] != LOST:
-            sign = -math.log(max(n or 0, 0.5) / 1e7)
+            sign = -math.log(max(n or 0, 0.5) / all_words)
             total += min(sign, 7.5) if key in "“”‘’«»„‚–—…" else sign
         elif n:
-            total -= math.log(n / 1e7)
+            total -= math.log(n / all_words)
             known &= n >= 5
         else:
-            total += UNSEEN - math.log(0.5 / 1e7) + PER_LETTER * len(key)
+            total += UNSEEN - math.log(0.5 / all_words) + PER_LETTER * len(key)
             known = False
     total += 10.0 * _odd(x["reading"])
     if x["channel"]:
@@ -276,7 +278,7 @@ def _cost(x) -> float:
     return total
 
 
-def _decode(nodes: list) -> tuple[dict[int, str], list[str]]:
+def _decode(nodes: list, all_words: float) -> tuple[dict[int, str], list[str]]:
     """Viterbi over the tokens of a line; the state is the channel last used."""
     by: dict[int, list] = {}
     for x in nodes:
@@ -285,7 +287,7 @@ def _decode(nodes: list) -> tuple[dict[int, str], list[str]]:
     for at in sorted(by):
         new: dict[str, tuple[float, list]] = {}
         for x in sorted(by[at], key=lambda x: (x["channel"], x["reading"])):
-            cost = _cost(x)
+            cost = _cost(x, all_words)
             for state, (sum_, path) in paths.items():
                 step = cost + (CHANGE if x["channel"] and state and state != x["channel"] else 0) - (2.0 if x["channel"] and state == x["channel"] else 0)
                 to = x["channel"] or state

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from lexilathe.session import shipped
+
 MODULES = ["mojibake", "splitting", "transcripts", "language", "neighbours", "scans", "clusters", "encode", "shared"]
 
 
@@ -11,7 +13,7 @@ def queries() -> dict:
     found: dict = {}
     for m in MODULES:
         found |= import_module(f"lexilathe.llm.{m}").QUERIES
-    return dict(sorted(found.items(), key=lambda x: int(x[0].split("_")[0][1:])))
+    return {name: shipped(f) for name, f in sorted(found.items(), key=lambda x: int(x[0].split("_")[0][1:]))}
 
 
 def oracle_sql() -> dict[str, str]:

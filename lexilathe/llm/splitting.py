@@ -194,7 +194,7 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces}
-_words = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n]+'), x -> x <> ''))"
+_words = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n]+'), lambda x: x <> ''))"
 SQL = {
     "p2_found": f"""
         select distinct unit_kind, document_id, chunk_index from (
