@@ -159,7 +159,7 @@ def readings(token: str) -> list[tuple[str, str, bool]]:
 
 def _odd(text: str) -> int:
     """Words that no right text has: wrongly cased, or with a sign inside."""
-    return sum(not regular(w) and not w.isascii() for w in re.findall(r"[^\W\d_]+", text)) + len(_INSIDE.findall(text))
+    return sum(w.isalpha() and not regular(w) and not w.isascii() for w in re.findall(r"[^\W\d_]+", text)) + len(_INSIDE.findall(text))
 
 
 def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
