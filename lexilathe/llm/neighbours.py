@@ -72,14 +72,18 @@ def multi_sequence(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, least: int
 
 
 def reach(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
-    """For each query the greatest summed distance that multi_sequence() comes to. The heap runs for one query in
-    sixteen and tells how many cells it takes at most; for the others that many least sums are selected at once."""
-    n, cells = len(d1), sizes.size
-    most = max(len(multi_sequence(d1[q], d2[q], sizes, least)) for q in range(0, n, max(16, n // 32)))
-    out = np.empty(n, np.float32)
-    for lo in range(0, n, 256):
-        sums = (d1[lo : lo + 256, :, None] + d2[lo : lo + 256, None, :]).reshape(-1, cells)
-        out[lo : lo + 256] = np.partition(sums, most - 1, axis=1)[:, most - 1] if most < cells else np.inf
+    """For each query the greatest summed distance that multi_sequence() comes to: the least one up to which cells hold
+    `least` entries, found by sorting the sums in blocks; infinity if all cells hold fewer."""
+    n, full = len(d1), np.flatnonzero(sizes)  # empty cells change nothing
+    held, out = sizes.ravel()[full], np.full(len(d1), np.inf, np.float32)
+    if held.sum() < least:
+        return out
+    block = max(1, (1 << 20) // sizes.size)
+    for lo in range(0, n, block):
+        sums = (d1[lo : lo + block, :, None] + d2[lo : lo + block, None, :]).reshape(-1, sizes.size)[:, full]
+        order = np.argsort(sums, axis=1)
+        last = np.argmax(np.cumsum(held[order], axis=1) >= least, axis=1)[:, None]
+        out[lo : lo + block] = np.take_along_axis(sums, np.take_along_axis(order, last, 1), 1)[:, 0]
     return out
 
 
@@ -204,12 +208,11 @@ def _search_block(index: Index, i: int, lo: int, big: int, k: int, least: int, f
             continue
         j, ids, vecs = index.read(a)
         edge = np.searchsorted(j, np.arange(len(index.books[1]) + 1))
-        room = limit[visiting] - d1[visiting, a]
         for b in range(len(index.books[1])):
             s, e = edge[b], edge[b + 1]
             if s == e:
                 continue
-            q = visiting[d2[visiting, b] <= room]
+            q = visiting[d1[visiting, a] + d2[visiting, b] <= limit[visiting]]  # rounded as in reach()
             if not len(q):
                 continue
             for s0 in range(s, e, 4096):  # a hot cell in blocks

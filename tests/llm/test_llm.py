@@ -160,6 +160,22 @@ def test_p5_heap_and_batch_take_the_same_cells():
         assert len(batch) >= 1 and (len(heap) <= len(batch) or set(heap) >= batch)
 
 
+def test_p5_every_query_holds_enough_entries():
+    # A hot cell: queries near it (among them each that a sample would take) need one cell, those far from it many.
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 4, (8, 8))
+    sizes[0, 0] = 500
+    d1, d2 = (1 + rng.random((100, 8))).astype(np.float32), (1 + rng.random((100, 8))).astype(np.float32)
+    d1[:, 0], d2[:, 0] = 9, 9
+    d1[::16, 0], d2[::16, 0] = 0, 0
+    limit = neighbours.reach(d1, d2, sizes, 60)
+    for q in range(100):
+        within = d1[q][:, None] + d2[q][None, :] <= limit[q]
+        assert sizes[within].sum() >= 60
+        assert {tuple(map(int, c)) for c in np.argwhere(within)} == set(neighbours.multi_sequence(d1[q], d2[q], sizes, 60))
+    assert np.isinf(neighbours.reach(d1, d2, sizes, int(sizes.sum()) + 1)).all()
+
+
 def test_p5_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)).astype(np.float32)
