@@ -241,6 +241,24 @@ def test_p7_components_and_squaring(spark):
         assert sorted(map(sorted, groups.values())) == [[0, 1, 2, 3, 4, 5], [10, 11, 12, 13, 14, 15]]
 
 
+def partition(labels):
+    groups = {}
+    for n, label in labels:
+        groups.setdefault(label, set()).add(n)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_p7_large_clusters_by_either_path(spark):
+    # Clusters well above 60 members, a chain whose flow takes long to be still, and two attractors at the end of chains.
+    rng = random.Random(9)
+    edges = [(g * 1000 + a, g * 1000 + b, round(rng.uniform(0.1, 0.6), 3)) for g, (n, p) in enumerate(((150, 1.0), (200, 0.4))) for a in range(n) for b in range(a + 1, n) if rng.random() < p]
+    edges += [(0, 1000, 0.1), (1, 1001, 0.1)] + [(2000 + i, 2001 + i, 0.3) for i in range(90)] + [(3000, 3001, 0.6), (3001, 3002, 0.1), (3000, 3003, 0.1)]
+    df = spark.createDataFrame(edges, "a long, b long, w double")
+    dense = partition(clusters.mcl_dense(df.toPandas()).itertuples(index=False))
+    assert dense == partition(map(tuple, clusters.mcl_by_joins(df).collect()))
+    assert list(range(150)) in dense and list(range(1000, 1200)) in dense
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 
