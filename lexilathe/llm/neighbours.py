@@ -10,6 +10,7 @@ neither vectors nor candidates are shuffled after the index is written, and no t
 from __future__ import annotations
 
 import heapq
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -190,6 +191,11 @@ def search(spark: SparkSession, index: Index, k: int, least: int, floor: float =
     return tasks.mapInPandas(run, "i int, ids array<bigint>, near array<struct<id: bigint, cos: double>>")
 
 
+def candidates(index: Index, least: int, share: float) -> int:
+    """Candidate entries of a query: at least so many, and a share of all, so that recall doesn't fall with growth."""
+    return max(least, math.ceil(share * int(index.sizes.sum())))
+
+
 def _search_block(index: Index, i: int, lo: int, big: int, k: int, least: int, floor: float, copies: bool = True) -> Iterator[pd.DataFrame]:
     _, own_ids, own = index.read(i)
     own_ids, x = own_ids.slice(lo, big), np.ascontiguousarray(own[lo : lo + big])

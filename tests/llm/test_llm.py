@@ -211,6 +211,16 @@ def test_p7_clusters(spark):
     assert {r["size"] for r in stats.collect()} == {len(v) for v in got.values()}
 
 
+def test_p7_candidates_grow_with_the_collection(spark, monkeypatch):
+    asked = []
+    index = neighbours.Index("", [np.zeros((1, 8))] * 2, np.array([[400_000]]), 16)
+    monkeypatch.setattr(neighbours, "build_index", lambda *_: index)
+    monkeypatch.setattr(neighbours, "search", lambda spark, index, k, least, *_, **__: asked.append(least) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        clusters.cluster(vectors(spark, np.eye(16)), 16)
+    assert asked == [100_000]
+
+
 def test_p7_components_and_squaring(spark):
     rng = random.Random(3)
     edges = {(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(45)) if a < b}
