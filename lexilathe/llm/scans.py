@@ -33,6 +33,8 @@ JOINERS = "and or und oder bzw beziehungsweise sowie et ou y e o u ed od".split(
 PARTS = "chapter chapitre kapitel capítulo capitulo capitolo part partie teil parte section abschnitt sección sezione secção".split()
 
 HYPHENS = "-‐\xad¬‑"
+#: Those that a compound may have as its own.
+OWN = "-‐‑"
 #: A word must be so many times rarer than what it is taken for, which must occur so often.
 RARER, OFTEN = 20, 5
 #: Pages of a block in the windows over a document's pages.
@@ -184,21 +186,36 @@ def _noise_lists(pages: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def vocabulary(bodies: DataFrame) -> DataFrame:
-    """(word, n) over pages (with skip): lower-case words, those split over two lines of a page joined."""
+    """(word, n, own) over pages (with skip): lower-case words, those split over two lines of a page joined; own leaves
+    out the joined ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
+            joined: Counter = Counter()
             for text, skip in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 words, splits, _ = _page_words((text or "").split("\n"), set(skip or ()))
                 counts.update(w for _, _, w in words)
-                counts.update(a + b for _, _, a, b in splits)
-            low: Counter = Counter()
-            for w, n in counts.items():
-                low[w.lower()] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(low), pa.string()), pa.array(list(low.values()), pa.int64())], ["word", "n"])
+                joined.update(a + b for _, _, a, b in splits)
+            low: dict[str, list[int]] = {}
+            for own, of in ((1, counts), (0, joined)):
+                for w, n in of.items():
+                    both = low.setdefault(w.lower(), [0, 0])
+                    both[0] += n
+                    both[1] += own * n
+            yield pa.RecordBatch.from_arrays([pa.array(list(low), pa.string()), *(pa.array([x[k] for x in low.values()], pa.int64()) for k in (0, 1))], ["word", "n", "own"])
 
-    return bodies.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return bodies.mapInArrow(run, "word string, n long, own long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+
+
+def keeps_hyphen(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(x, y, keep) of halves (x, y) in lower case: whether the corpus writes x-y rather than xy; if neither more than the
+    other, whether both halves are words by themselves."""
+    asked = [(0, F.concat("x", F.lit(h), "y")) for h in OWN] + [(1, F.concat("x", "y")), (2, F.col("x")), (3, F.col("y"))]
+    words = pairs.distinct().select("x", "y", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), w.alias("word")) for k, w in asked])).alias("q")).select("x", "y", "q.k", "q.word")
+    with_, without, x, y = (F.sum(F.when(F.col("k") == k, F.coalesce("own", F.lit(0))).otherwise(0)) for k in range(4))
+    keep = (with_ > without) | ((with_ == without) & (x >= OFTEN) & (y >= OFTEN))
+    return words.join(counts.select("word", "own"), "word", "left").groupBy("x", "y").agg((keep & ~F.col("y").isin(JOINERS)).alias("keep"))
 
 
 def variants(word: str) -> list[str]:
@@ -276,7 +293,10 @@ def line_noise(bodies: DataFrame, counts: DataFrame, wrong: DataFrame) -> DataFr
     letters = splits.filter(F.col("b").rlike(r"^\p{L}"))
     joined = letters.withColumn("word", F.lower(F.concat("a", "b"))).join(counts.filter(F.col("n") >= OFTEN), "word", "left")
     hyphens = joined.filter(~F.lower("b").isin(JOINERS) | F.col("n").isNotNull())
-    hyphens = hyphens.select("document_id", "page_number", "line_no", F.lit("hyphen").alias("noise_kind"), F.concat("a", F.lit("-"), "b").alias("word"), F.concat("a", "b").alias("meant"))
+    hyphens = hyphens.withColumns({"x": F.lower("a"), "y": F.lower("b")})
+    hyphens = hyphens.join(keeps_hyphen(hyphens.select("x", "y"), counts), ["x", "y"])
+    compound = F.concat("a", F.lit("-"), "b")
+    hyphens = hyphens.select("document_id", "page_number", "line_no", F.lit("hyphen").alias("noise_kind"), compound.alias("word"), F.when(F.col("keep"), compound).otherwise(F.concat("a", "b")).alias("meant"))
     # In a split word the half that the correction changes is the misread one.
     whole = marks.filter("what = 0").select("document_id", "page_number", "line_no", F.col("a").alias("word")).join(wrong, "word")
     halves = marks.filter("what in (4, 5)").withColumn("word", F.lower(F.concat("a", "b"))).join(wrong, "word")
@@ -303,9 +323,10 @@ def scan_noise(pages: DataFrame, suspect: DataFrame) -> DataFrame:
 
 
 def paragraphs(pages: DataFrame, noise: DataFrame) -> DataFrame:
-    """(document_id, page_number, paragraph_no, text, open_end) of repaired pages: without headers and page numbers,
+    """(document_id, page_number, paragraph_no, text, open_end, glued) of repaired pages: without headers and page numbers,
     with lines joined, split words joined and misread words replaced. A paragraph that goes on on the next page has
-    open_end; the parts follow each other in the order of pages and numbers."""
+    open_end, and glued if its last word goes on there, so that no space comes between; the parts follow each other in
+    the order of pages and numbers."""
     skip = noise.filter("noise_kind in ('header', 'page_number')").groupBy("document_id", "page_number").agg(F.collect_set("line_no").alias("skip"))
     fixes = noise.filter("word is not null").groupBy("document_id", "page_number").agg(F.collect_set(F.struct("line_no", "noise_kind", "word", "meant")).alias("fixes"))
     one = pages.filter("document_id is not null and page_number is not null and text is not null").groupBy("document_id", "page_number").agg(F.max("text").alias("text"))
@@ -315,20 +336,21 @@ def paragraphs(pages: DataFrame, noise: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for doc, page, text, skip_, fixes_ in zip(*(c.to_pylist() for c in batch.columns)):
-                for no, (paragraph, is_open) in enumerate(_repair(text.split("\n"), set(skip_ or ()), fixes_ or [])):
-                    out.append((doc, page, no, paragraph, is_open))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate([pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_()])], ["document_id", "page_number", "paragraph_no", "text", "open_end"])
+                for no, (paragraph, is_open, is_glued) in enumerate(_repair(text.split("\n"), set(skip_ or ()), fixes_ or [])):
+                    out.append((doc, page, no, paragraph, is_open, is_glued))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate([pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()])], ["document_id", "page_number", "paragraph_no", "text", "open_end", "glued"])
 
-    return rows.mapInArrow(run, DDL_KEY + ", paragraph_no int, text string, open_end boolean")
+    return rows.mapInArrow(run, DDL_KEY + ", paragraph_no int, text string, open_end boolean, glued boolean")
 
 
-def _repair(lines: list[str], skip: set[int], fixes: list[dict]) -> list[tuple[str, bool]]:
+def _repair(lines: list[str], skip: set[int], fixes: list[dict]) -> list[tuple[str, bool, bool]]:
     split_at = {f["line_no"]: f for f in fixes if f["noise_kind"] == "hyphen"}
     words: dict[int, list[tuple[str, str]]] = {}
     for f in fixes:
         if f["noise_kind"] == "misread":
             words.setdefault(f["line_no"], []).append((f["word"], f["meant"]))
     parts: list[list[str]] = [[]]
+    wrong: list[tuple[str, str]] = []  # of the lines that the last entry of parts was joined from
     glue = False
     for i, line in enumerate(lines):
         if i in skip:
@@ -338,19 +360,24 @@ def _repair(lines: list[str], skip: set[int], fixes: list[dict]) -> list[tuple[s
                 parts.append([])
             continue
         text = line.strip()
-        for word, meant in words.get(i, ()):
-            text = re.sub(re.escape(word), meant, text, flags=re.IGNORECASE)
         if glue and parts[-1]:
             parts[-1][-1] += text
+            wrong = wrong + words.get(i, [])
         else:
             parts[-1].append(text)
+            wrong = words.get(i, [])
         glue = i in split_at
         if glue:
             body = parts[-1][-1].rstrip()
-            # A compound keeps its own hyphen if both halves are words by themselves; soft and printed marks go.
-            parts[-1][-1] = body[:-1]
+            # A compound keeps its own hyphen, which is what the split's meaning has; soft and printed marks go.
+            own = body[-1:] in OWN and split_at[i]["meant"] == split_at[i]["word"]
+            parts[-1][-1] = body if own else body[:-1]
+        # After joining, so that words whose halves stand on two lines are found whole.
+        for word, meant in wrong:
+            parts[-1][-1] = re.sub(r"(?<!\w)" + re.escape(word) + r"(?!\w)", meant, parts[-1][-1], flags=re.IGNORECASE)
     done = [" ".join(p) for p in parts if p]
-    return [(p, k == len(done) - 1 and p.rstrip()[-1:] not in ".!?…”»\")") for k, p in enumerate(done)]
+    last = len(done) - 1
+    return [(p, k == last and (glue or p.rstrip()[-1:] not in ".!?…”»\")"), k == last and glue) for k, p in enumerate(done)]
 
 
 def _noise(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,6 +295,18 @@ def test_p6_noise(spark):
     assert "one household rejects the member" in text and "Chapter" not in text
 
 
+def test_p6_hyphens_kept_or_dropped_and_words_over_a_page_end(spark):
+    known = "long-term long-term long-term community community community example household " + "household " * 120 + "self self self self self made made made made made"
+    pages = [("d", 1, known + "\nthe long-\nterm commu-\nnity is self-\nmade, a house-\nhoId house\xad\nhold and long\xad\nterm exam-"), ("d", 2, "ple of a com-\nmunity")]
+    pages[0] = (*pages[0][:2], pages[0][2].replace("hoId", "ho1d"))
+    df = spark.createDataFrame(pages, "document_id string, page_number int, text string")
+    found = scans.scan_noise(df, spark.createDataFrame([], "document_id string, page_number int, line_no int"))
+    got = {r.page_number: r for r in scans.paragraphs(df, found).collect()}
+    assert got[1].text.endswith("the long-term community is self-made, a household household and longterm exam")
+    assert got[1].open_end and got[1].glued and not got[2].glued
+    assert got[2].text == "ple of a community"
+
+
 # --- 8, 9 ------------------------------------------------------------------------------------------------------------
 
 
