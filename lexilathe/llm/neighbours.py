@@ -265,8 +265,8 @@ def all_neighbours(vectors: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return every.select("id", F.posexplode(others).alias("p", "n")).select("id", F.col("n.id").alias("near_id"), F.col("n.cos").alias("cos"), (F.col("p") + 1).alias("rank"))
 
 
-#: Candidate entries of a query in p5_knn and p5_found.
-CANDIDATES = 20_000
+#: Candidate entries of a query in p5_knn and p5_found: at least, and as a share of all.
+CANDIDATES, SHARE = 20_000, 0.15
 
 
 def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,7 +278,8 @@ def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def neighbours(spark: SparkSession, sf_dir: str, k: int = 5, least: int = CANDIDATES) -> DataFrame:
     vectors = collection(spark, sf_dir)
-    return all_neighbours(vectors, settle(search(spark, build_index(vectors, 64), k, least)), k)
+    index = build_index(vectors, 64)
+    return all_neighbours(vectors, settle(search(spark, index, k, candidates(index, least, SHARE))), k)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

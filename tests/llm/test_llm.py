@@ -176,6 +176,17 @@ def test_p5_every_query_holds_enough_entries():
     assert np.isinf(neighbours.reach(d1, d2, sizes, int(sizes.sum()) + 1)).all()
 
 
+def test_p5_candidates_grow_with_the_collection(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(neighbours, "collection", lambda *_: None)
+    monkeypatch.setattr(neighbours, "search", lambda spark, index, k, least, *_, **__: asked.append(least) or 1 / 0)
+    for n in (10_000, 2_000_000):
+        monkeypatch.setattr(neighbours, "build_index", lambda *_: neighbours.Index("", [], np.array([[n]]), 64))  # noqa: B023
+        with pytest.raises(ZeroDivisionError):
+            neighbours.neighbours(spark, "")
+    assert asked == [20_000, 300_000]
+
+
 def test_p5_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)).astype(np.float32)
