@@ -222,6 +222,21 @@ def test_p7_clusters(spark):
     assert {r["size"] for r in stats.collect()} == {len(v) for v in got.values()}
 
 
+def test_p7_copies_count_as_points(spark):
+    # Two near-equal vectors with 5 copies each, two with 40 each, two with 2 each, repeated rows; each pair far from all.
+    x, eye = [], np.eye(16)
+    for c, n in ((0, 5), (4, 40), (8, 2)):
+        for side in (0.05, -0.05):
+            x += [eye[c] + side * eye[c + 1]] * n
+    df = vectors(spark, x)
+    members, stats = clusters.cluster(df.union(df.limit(3)), 16)
+    got = {}
+    for r in members.collect():
+        got.setdefault(r.first_id, set()).add(r.id)
+    assert got == {0: set(range(10)), 10: set(range(10, 90))}
+    assert {r["size"] for r in stats.collect()} == {10, 80}
+
+
 def test_p7_candidates_grow_with_the_collection(spark, monkeypatch):
     asked = []
     index = neighbours.Index("", [np.zeros((1, 8))] * 2, np.array([[400_000]]), 16)
