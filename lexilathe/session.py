@@ -42,6 +42,30 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, with its scheme, so that it names the same place from every machine."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that shared_folder() named."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def open_folder(path: str):
+    """(file system, path in it) for reading a folder of the shared file system outside of Spark."""
+    from pyarrow import fs
+
+    scheme, rest = path.split(":", 1) if ":" in path else ("file", path)
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + ":" + rest)
+
+
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench."""
     return (
