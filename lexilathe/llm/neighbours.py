@@ -1,31 +1,38 @@
 """Problem 5: the k most similar vectors of every vector, by an inverted multi-index.
 
-Vectors are cut into halves, and each half is quantised by its own codebook, so a vector lies in the cell (i, j). The
-index is a table in the shared folder, partitioned by i and sorted by cell; equal vectors are one entry. A query takes
-the cells in ascending order of the summed distances of its halves to the two centroids until they hold enough entries,
-and ranks these entries by exact cosine. Tasks take the queries of one i and walk through the cells of the index, so
-neither vectors nor candidates are shuffled after the index is written, and no task holds more than two partitions.
+The coordinates of unit vectors are cut into two halves, and each half is quantised by its own codebook of about the
+square root of their number of centroids, so a vector lies in the cell (i, j). A query takes the cells in ascending
+order of the summed distances of its halves to the two centroids, a number of cells that grows with the fourth root of
+the collection, and ranks what they hold by cosine. This is done for two ways of halving the coordinates, as a
+neighbour that one misses is mostly found by the other, which costs less than taking several times the cells in one.
+
+The entries are a table in the shared folder, in units of bounded size of lists (one i each) that lie close together.
+A task takes the queries of one unit and reads the units that their cells lie in, so vectors are shuffled once, when
+the table is written, and neither they nor candidates after it.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilathe.session import ensure_checkpoint_dir, settle, table
+from lexilathe.session import drop_folder, open_folder, shared_folder, table
+from lexilathe.session import written as settle
 
-#: Vectors that the codebooks are fitted on (chosen by hash), taken to the driver.
-SAMPLE = 20_000
+#: Ways of halving the coordinates, and vectors a centroid that codebooks are fitted on (chosen by hash).
+SPLITS, SAMPLE_EACH = 2, 64
+#: Entries of a unit, about; entries that a task holds at a time, unless one unit has more.
+UNIT, ARENA = 25_000, 1 << 19
 #: Ids of equal vectors that an entry keeps; enough for the neighbours of all of them.
 KEPT = 6
+#: Entries keep coordinates as 16-bit numbers; cosines are right to about 2e-5.
+STEP = 32767
 
 
 def is_valid(v: Column, dim: int) -> Column:
@@ -37,6 +44,17 @@ def is_valid(v: Column, dim: int) -> Column:
     return v.isNotNull() & (F.size(v) == dim) & F.coalesce(fine, F.lit(False))
 
 
+def valid_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, unit vectors) of the valid ones among an array of lists: what is_valid() says, for a batch."""
+    sizes = np.asarray(column.value_lengths().fill_null(-1))
+    at = np.flatnonzero(sizes == dim)
+    v = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    fine = np.isfinite(v).all(axis=1) & (v != 0).any(axis=1)
+    v = v[fine]
+    v /= np.abs(v).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+    return at[fine], v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def fit_codebook(sample: np.ndarray, k: int, rounds: int = 10, seed: int = 11) -> np.ndarray:
     """k centroids by Lloyd's algorithm; fewer if there are fewer distinct vectors."""
     rng = np.random.default_rng(seed)
@@ -46,9 +64,9 @@ def fit_codebook(sample: np.ndarray, k: int, rounds: int = 10, seed: int = 11) -
         own = nearest(sample, centroids)
         order = np.argsort(own, kind="stable")
         edge = np.searchsorted(own[order], np.arange(len(centroids) + 1))
-        for c in range(len(centroids)):
-            if edge[c + 1] > edge[c]:
-                centroids[c] = sample[order[edge[c] : edge[c + 1]]].mean(axis=0)
+        full = np.flatnonzero(edge[1:] > edge[:-1])
+        sums = np.add.reduceat(sample[order], edge[full], axis=0)
+        centroids[full] = sums / (edge[full + 1] - edge[full])[:, None]
     return centroids
 
 
@@ -56,15 +74,14 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.argmax(x @ centroids.T - 0.5 * (centroids**2).sum(axis=1), axis=1)
 
 
-def multi_sequence(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Cells (i, j) in ascending order of d1[i] + d2[j], by a heap, until they hold `least` entries."""
+def multi_sequence(d1: np.ndarray, d2: np.ndarray, count: int) -> list[tuple[int, int]]:
+    """The first `count` cells (i, j) in ascending order of d1[i] + d2[j], by a heap. This defines what a query takes;
+    first_cells() gives the same for many queries at once."""
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    heap, seen, out, held = [(d1[o1[0]] + d2[o2[0]], 0, 0)], {(0, 0)}, [], 0
-    while heap and held < least:
+    heap, seen, out = [(d1[o1[0]] + d2[o2[0]], 0, 0)], {(0, 0)}, []
+    while heap and len(out) < count:
         _, a, b = heapq.heappop(heap)
-        cell = (int(o1[a]), int(o2[b]))
-        out.append(cell)
-        held += int(sizes[cell])
+        out.append((int(o1[a]), int(o2[b])))
         for x, y in ((a + 1, b), (a, b + 1)):
             if x < len(o1) and y < len(o2) and (x, y) not in seen:
                 seen.add((x, y))
@@ -72,218 +89,436 @@ def multi_sequence(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, least: int
     return out
 
 
-def reach(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
-    """For each query the greatest summed distance that multi_sequence() comes to: the least one up to which cells hold
-    `least` entries, found by sorting the sums in blocks; infinity if all cells hold fewer."""
-    n, full = len(d1), np.flatnonzero(sizes)  # empty cells change nothing
-    held, out = sizes.ravel()[full], np.full(len(d1), np.inf, np.float32)
-    if held.sum() < least:
-        return out
-    block = max(1, (1 << 20) // sizes.size)
-    for lo in range(0, n, block):
-        sums = (d1[lo : lo + block, :, None] + d2[lo : lo + block, None, :]).reshape(-1, sizes.size)[:, full]
-        order = np.argsort(sums, axis=1)
-        last = np.argmax(np.cumsum(held[order], axis=1) >= least, axis=1)[:, None]
-        out[lo : lo + block] = np.take_along_axis(sums, np.take_along_axis(order, last, 1), 1)[:, 0]
-    return out
-
-
-class Index:
-    """Codebooks, entries in each cell and the folder of the entries; small, and sent to the tasks."""
+def staircase(k1: int, k2: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places (a, b) in two ascending lists that the heap can come to within `count` steps: a pair has
+    (a + 1) (b + 1) - 1 others before it."""
+    widths = np.minimum(k2, count // np.arange(1, min(k1, count) + 1))
+    return np.repeat(np.arange(len(widths)), widths), np.arange(widths.sum()) - np.repeat(np.cumsum(widths) - widths, widths)
+
+
+def first_cells(d1: np.ndarray, d2: np.ndarray, stairs: tuple[np.ndarray, np.ndarray], count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, i, j) of the first `count` cells of each query (row of d1 and d2), with all that are as near as the last:
+    every query's own heap order up to there, found by partial sorting of the pairs the heap can come to."""
+    a, b = stairs
+    o1, o2 = np.argsort(d1, axis=1), np.argsort(d2, axis=1)
+    sums = np.take_along_axis(d1, o1, 1).take(a, axis=1) + np.take_along_axis(d2, o2, 1).take(b, axis=1)
+    if sums.shape[1] > count:
+        at = np.flatnonzero(sums <= np.partition(sums, count - 1, axis=1)[:, count - 1 : count])
+    else:
+        at = np.arange(sums.size)
+    q = at // len(a)
+    p = at - q * len(a)
+    return q, o1.ravel()[q * d1.shape[1] + a[p]], o2.ravel()[q * d2.shape[1] + b[p]]
+
+
+def along(centroids: np.ndarray) -> np.ndarray:
+    """An order of centroids in which close ones mostly stand together: halves along the widest direction, again and
+    again."""
+    out, todo = [], [np.arange(len(centroids))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= 2:
+            out.extend(at)
+            continue
+        x = centroids[at] - centroids[at].mean(axis=0)
+        way = x[np.argmax((x * x).sum(axis=1))]
+        for _ in range(3):
+            way = x.T @ (x @ way)
+            way = way / max(float(np.linalg.norm(way)), 1e-30)
+        order = at[np.argsort(x @ way, kind="stable")]
+        todo += [order[len(at) // 2 :], order[: len(at) // 2]]
+    return np.array(out, np.int64)
 
-    def __init__(self, path: str, books: list[np.ndarray], sizes: np.ndarray, dim: int):
-        self.path, self.books, self.sizes, self.dim = path, books, sizes, dim
 
-    def read(self, i: int) -> tuple[np.ndarray, list, np.ndarray]:
-        """(cell column j, ids, unit vectors) of the entries with first half i, sorted by j."""
-        import pyarrow.dataset as ds
-        from pyarrow import fs
+class Split:
+    """One way of halving: the order of coordinates, the two codebooks, and the units that hold each list: list i lies
+    in units first[i] to first[i] + parts[i] - 1, by the hash of the vector."""
 
-        where = f"{self.path}/i={i}"
-        files, inside = fs.FileSystem.from_uri(where) if "://" in where else (fs.LocalFileSystem(), where.removeprefix("file:"))
-        t = ds.dataset(inside, filesystem=files, format="parquet").to_table(columns=["j", "ids", "vec"])
-        vecs = np.frombuffer(b"".join(t["vec"].to_pylist()), np.float32).reshape(-1, self.dim)
-        j = t["j"].to_numpy()
-        order = np.argsort(j, kind="stable")
-        ids = t["ids"].combine_chunks()
-        return j[order], ids.take(pa.array(order)), vecs[order]
+    def __init__(self, order: np.ndarray, books: list[np.ndarray], first: np.ndarray, parts: np.ndarray):
+        self.order, self.books, self.first, self.parts = order, books, first, parts
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        half = self.dim // 2
+        half = x.shape[1] // 2
         part = lambda a, c: (a * a).sum(axis=1)[:, None] - 2 * a @ c.T + (c * c).sum(axis=1)
+        x = x[:, self.order]
         return part(x[:, :half], self.books[0]), part(x[:, half:], self.books[1])
 
 
-def build_index(vectors: DataFrame, dim: int, k: int | None = None) -> Index:
-    """Writes the index of (id long, vec array<float>); all rows must be valid. Repeated rows and equal vectors become
-    one entry: they are merged within each batch before the shuffle and again before writing, so a group of copies of
-    any size costs no more than its rows' reading."""
+class Unit:
+    """Entries of one unit, sorted by cell: the cell's number, ids (the least KEPT of equal vectors), home (the unit of
+    the first split) and unit vectors."""
+
+    def __init__(self, cell: np.ndarray, ids: pa.ListArray, home: np.ndarray, vecs: np.ndarray):
+        self.cell, self.ids, self.home, self.vecs = cell, ids, home, vecs
+        self.first = ids.values.to_numpy()[ids.offsets.to_numpy()[:-1]]
+
+
+class Index:
+    """Codebooks (their size grows with the square root of the collection) and the entries in each unit; sent to the
+    tasks. `crowds` is the number of entries with KEPT ids or more."""
+
+    def __init__(self, path: str, splits: list[Split], dim: int):
+        self.path, self.splits, self.dim = path, splits, dim
+        self.sizes, self.crowds, self.n = {}, 0, 0
+
+    def read(self, u: int) -> Unit:
+        import pyarrow.dataset as ds
+
+        files, inside = open_folder(f"{self.path}/u={u}")
+        t = ds.dataset(inside, filesystem=files, format="parquet").to_table(columns=["cell", "ids", "home", "vec"]).combine_chunks()
+        cell = t["cell"].to_numpy()
+        if (np.diff(cell) < 0).any():
+            t = t.take(pa.array(np.argsort(cell, kind="stable")))
+            cell = t["cell"].to_numpy()
+        ids, packed = _one(t["ids"]), _one(t["vec"])
+        vecs = np.frombuffer(packed.buffers()[2], np.int16, len(packed) * self.dim, packed.offset * self.dim * 2).reshape(-1, self.dim).astype(np.float32)
+        vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+        return Unit(cell, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))]), pa.int32()), ids.flatten()), t["home"].to_numpy(), vecs)
+
+    def drop(self, spark: SparkSession) -> None:
+        drop_folder(spark, self.path)
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+
+
+def _units(split_first: int, lists: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first, parts, next number): units of about UNIT entries from the estimated number of entries of each list, in
+    the order given. A list of more than two units' entries has units of its own."""
+    first, parts, u, held = np.zeros(len(lists), np.int64), np.ones(len(lists), np.int64), split_first, 0.0
+    for i in order:
+        if lists[i] > 2 * UNIT:
+            u += held > 0
+            first[i], parts[i], held = u, math.ceil(lists[i] / UNIT), 0.0
+            u += int(parts[i])
+        else:
+            if held and held + lists[i] > UNIT:
+                u, held = u + 1, 0.0
+            first[i], held = u, held + max(float(lists[i]), 1e-9)
+    return first, parts, int(u + (held > 0))
+
+
+def build_index(vectors: DataFrame, dim: int, n: int | None = None, splits: int = SPLITS) -> Index:
+    """Writes the index of (id long, vec array<float>). Rows with a null id or an invalid vector are left out. Repeated
+    rows and equal vectors become one entry: they are merged within each batch before the shuffle and again before
+    writing, so a group of copies of any size costs no more than its rows' reading. `n` is the number of rows, where it
+    is known; it sets the number of centroids alone."""
     spark = vectors.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
-    n = vectors.count()
-    share = F.lit(int((1 << 30) * min(1.0, 1.1 * SAMPLE / max(n, 1))))
-    sample = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= share).select("vec").limit(SAMPLE).toPandas()["vec"]
-    x = np.array([np.asarray(v, np.float32) for v in sample]).reshape(-1, dim)
-    x /= np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
-    if k is None:
-        k = 16 if n < 5_000 else 32 if n < 50_000 else 64 if n < 1_000_000 else 128
-    half = dim // 2
-    books = [fit_codebook(x[:, :half], k), fit_codebook(x[:, half:], k)] if len(x) else [np.zeros((1, half), np.float32), np.zeros((1, dim - half), np.float32)]
+    n = vectors.count() if n is None else n
+    k = max(1, math.ceil(math.sqrt(n)))
+    want = SAMPLE_EACH * k
+    share = F.lit(int((1 << 30) * min(1.0, want / max(n, 1))))
+    rows = vectors.filter(F.col("id").isNotNull()).select("id", "vec")
+    taken = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= share).select("vec").limit(2 * want).toArrow()["vec"]
+    x = np.concatenate([valid_rows(c, dim)[1] for c in taken.chunks] + [np.zeros((0, dim))]).astype(np.float32)
+    half, made, number = dim // 2, [], 0
+    for s in range(splits):
+        order = np.arange(dim) if s == 0 else np.random.default_rng(s).permutation(dim)
+        parts = [x[:, order[:half]], x[:, order[half:]]]
+        books = [fit_codebook(p, k) if len(p) else np.zeros((1, p.shape[1]), np.float32) for p in parts]
+        lists = np.bincount(nearest(parts[0], books[0]), minlength=len(books[0])) * (n / max(len(x), 1))
+        first, pieces, number = _units(number, lists, along(books[0]))
+        made.append(Split(order, books, first, pieces))
+    homes = int((made[0].first + made[0].parts).max())
+    index = Index(shared_folder(spark, "index"), made, dim)
 
     def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            at, unit = valid_rows(batch.column(1), dim)
+            if not len(at):
                 continue
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            unit = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-            i, j = nearest(unit[:, :half], books[0]), nearest(unit[:, half:], books[1])
-            rows = pd.DataFrame({"i": i, "j": j, "id": batch.column(0).to_numpy(), "h": batch.column(2).to_numpy(), "vec": [u.tobytes() for u in unit]})
-            out = _merge_copies(rows.assign(ids=[[x] for x in rows["id"]]))
-            yield pa.RecordBatch.from_pandas(out, schema=schema, preserve_index=False)
+            ids, h, unit = batch.column(0).to_numpy()[at], batch.column(2).to_numpy()[at], unit.astype(np.float32)
+            one, offsets, values = _merge_copies(h, np.arange(len(h) + 1), ids)
+            h, unit = h[one], unit[one]
+            packed, home = np.rint(unit * STEP).astype(np.int16), None
+            for s in made:
+                parted = unit[:, s.order]
+                i, j = nearest(parted[:, :half], s.books[0]), nearest(parted[:, half:], s.books[1])
+                u = s.first[i] + h % s.parts[i]
+                home = u if home is None else home
+                yield _batch(u, i * len(s.books[1]) + j, h, offsets, values, home, packed)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # rows come sorted, so copies are neighbours
-        for batch in batches:
-            pdf = batch.to_pandas()
-            if last is not None:
-                pdf = pd.concat([last, pdf], ignore_index=True)
-            pdf = _merge_copies(pdf)
-            last = pdf.tail(1)
-            if len(pdf) > 1:
-                yield pa.RecordBatch.from_pandas(pdf.iloc[:-1], schema=schema, preserve_index=False)
-        if last is not None:
-            yield pa.RecordBatch.from_pandas(last, schema=schema, preserve_index=False)
-
-    schema = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("h", pa.int64()), ("ids", pa.list_(pa.int64())), ("vec", pa.binary())])
-    ddl = "i int, j int, h bigint, ids array<bigint>, vec binary"
-    entries = vectors.select("id", "vec", F.xxhash64("vec").alias("h")).mapInArrow(quantise, ddl).repartition("i", "j").sortWithinPartitions("i", "j", "h").mapInArrow(merge, ddl)
-    entries.drop("h").write.partitionBy("i").parquet(path)
-    sizes = np.zeros((len(books[0]), len(books[1])), np.int64)
-    for r in spark.read.schema("j int, i int").parquet(path).groupBy("i", "j").count().collect():  # at most k * k rows
-        sizes[r.i, r.j] = r["count"]
-    return Index(path, books, sizes, dim)
-
-
-def _merge_copies(rows: pd.DataFrame) -> pd.DataFrame:
-    """One row per vector (by its hash before scaling), with the least KEPT distinct ids."""
-    rows = rows[["i", "j", "h", "ids", "vec"]]
-    if rows["h"].is_unique:
-        return rows
-    both = rows.groupby("h", sort=False).agg(i=("i", "first"), j=("j", "first"), ids=("ids", lambda s: sorted({x for y in s for x in y})[:KEPT]), vec=("vec", "first"))
-    return both.reset_index()[["i", "j", "h", "ids", "vec"]]
-
-
-def search(spark: SparkSession, index: Index, k: int, least: int, floor: float = -2.0, copies: bool = True) -> DataFrame:
-    """(i, ids, near array<struct<id, cos>>) of every entry of the index: the k + KEPT most similar ids to its vector (its
-    own copies included), most similar first, equal ones by id, no less similar than floor. `least` is the number of
-    candidate entries; fewer than k + KEPT ids come only if there are no more. Without `copies` each entry found is named
-    by its least id alone."""
-    big = 4_000  # queries that a task takes at most, so that a hot partition is split
-    work = [(i, lo) for i in range(len(index.books[0])) for lo in range(0, int(index.sizes[i].sum()), big)]
+        t = pa.Table.from_batches(batches, schema=schema)  # the entries of one unit
+        if not t.num_rows:
+            return
+        for u in np.unique(t["u"].to_numpy()):
+            part = t.filter(pa.array(t["u"].to_numpy() == u)).combine_chunks()
+            ids = _one(part["ids"])
+            one, offsets, values = _merge_copies(part["h"].to_numpy(), np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))]), ids.flatten().to_numpy())
+            cell = part["cell"].to_numpy()[one]
+            order = np.argsort(cell, kind="stable")
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)).take(pa.array(order))
+            rest = part.take(pa.array(one[order]))
+            yield pa.RecordBatch.from_arrays([_one(rest[c]) if c != "ids" else lists for c in ("u", "cell", "ids", "home", "vec")], ["u", "cell", "ids", "home", "vec"])
+
+    schema = pa.schema([("u", pa.int32()), ("cell", pa.int64()), ("h", pa.int64()), ("ids", pa.list_(pa.int64())), ("home", pa.int32()), ("vec", pa.binary())])
+    ddl = "u int, cell bigint, h bigint, ids array<bigint>, home int, vec binary"
+    entries = rows.withColumn("h", F.xxhash64("vec")).mapInArrow(quantise, ddl).repartitionById(max(number, 1), F.col("u"))
+    entries.mapInArrow(merge, "u int, cell bigint, ids array<bigint>, home int, vec binary").write.partitionBy("u").parquet(index.path)
+    stored = spark.read.schema("ids array<bigint>, u int").parquet(index.path)
+    for r in stored.groupBy("u").agg(F.count("*").alias("n"), F.count_if(F.size("ids") >= KEPT).alias("crowds")).collect():  # a row a unit
+        index.sizes[r.u] = r.n
+        if r.u < homes:
+            index.crowds, index.n = index.crowds + r.crowds, index.n + r.n
+    return index
+
+
+def _merge_copies(h: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, offsets, ids): of each hash the first place, and the least KEPT of its distinct ids."""
+    of = np.repeat(h, np.diff(offsets))
+    order = np.lexsort((values, of))
+    of, values = of[order], values[order]
+    new = np.concatenate([[True], (of[1:] != of[:-1]) | (values[1:] != values[:-1])]) if len(of) else np.zeros(0, bool)
+    of, values = of[new], values[new]
+    names, start, count = np.unique(of, return_index=True, return_counts=True)
+    keep = np.arange(len(of)) - np.repeat(start, count) < KEPT
+    distinct, place = np.unique(h, return_index=True)  # the same names in the same order
+    return place, np.concatenate([[0], np.cumsum(np.minimum(count, KEPT))]), values[keep]
+
+
+def _batch(u, cell, h, offsets, values, home, packed) -> pa.RecordBatch:
+    n, width = len(u), packed.shape[1] * 2
+    vec = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(packed))])
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int32()), pa.array(cell, pa.int64()), pa.array(h, pa.int64()), lists, pa.array(home, pa.int32()), vec], ["u", "cell", "h", "ids", "home", "vec"])
+
+
+class _Arena:
+    """The units of one split that a task holds at the time."""
+
+    def __init__(self, index: Index, split: Split):
+        self.index, self.split, self.units = index, split, {}
+        self.base = np.full((len(split.first), int(split.parts.max())), -1, np.int64)
+
+    def rounds(self, lists: np.ndarray) -> Iterator[None]:
+        """Makes the units of these lists available: all at once, or if they are too many, some in each round."""
+        s, sizes = self.split, self.index.sizes
+        need = [u for u in sorted({int(s.first[i]) + p for i in lists for p in range(int(s.parts[i]))}) if sizes.get(u)]
+        if all(u in self.units for u in need):
+            yield
+            return
+        total = sum(sizes[u] for u in need)
+        if total + sum(sizes[u] for u in self.units if u not in need) <= ARENA:
+            self._load([*self.units, *need])
+            yield
+        elif total <= ARENA:
+            self._load(need)
+            yield
+        else:
+            while need:
+                some, held = [], 0
+                while need and (not some or held + sizes[need[0]] <= ARENA):
+                    held += sizes[need[0]]
+                    some.append(need.pop(0))
+                self._load(some)
+                yield
+
+    def _load(self, wanted: list[int]) -> None:
+        s, width = self.split, len(self.split.books[1])
+        self.units = {u: self.units.get(u) or self.index.read(u) for u in dict.fromkeys(wanted)}
+        self.base[:] = -1
+        starts, at, used = [], 0, 0
+        for u, unit in self.units.items():
+            lists = np.flatnonzero((s.first <= u) & (u < s.first + s.parts))
+            edges = np.searchsorted(unit.cell, (lists[:, None] * width + np.arange(width + 1)).ravel())
+            starts.append(edges + at)
+            self.base[lists, u - s.first[lists]] = used + np.arange(len(lists)) * (width + 1)
+            at, used = at + len(unit.cell), used + len(edges)
+        held = list(self.units.values())
+        self.starts = np.concatenate(starts)
+        self.vecs = np.concatenate([x.vecs for x in held])
+        self.first = np.concatenate([x.first for x in held])
+        counts = np.concatenate([np.asarray(x.ids.value_lengths()) for x in held])
+        self.counts, self.values = counts, np.concatenate([x.ids.values.to_numpy() for x in held])
+        self.offsets = np.cumsum(counts) - counts
+
+    def entries(self, q: np.ndarray, i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places of entries, edges of each query's part) of visits (q ascending, i, j) of n queries."""
+        found = []
+        for p in range(self.base.shape[1]):
+            at = self.base[i, p]
+            here = np.flatnonzero(at >= 0) if p or (at < 0).any() else slice(None)
+            at = at[here] + j[here]
+            lo, size = self.starts[at], self.starts[at + 1] - self.starts[at]
+            full = np.flatnonzero(size)
+            lo, size, of = lo[full], size[full], q[here][full]
+            places = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            found.append((places, np.repeat(of, size)))
+        if len(found) == 1:
+            places, of = found[0]
+        else:
+            places, of = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(of, kind="stable")
+            places, of = places[order], of[order]
+        return places, np.searchsorted(of, np.arange(n + 1))
+
+    def expand(self, places: np.ndarray, q: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All kept ids of entries instead of the entries."""
+        size = self.counts[places]
+        ids = self.values[np.repeat(self.offsets[places] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        return ids, np.repeat(q, size), np.repeat(cos, size)
+
+
+def cells_of_query(n: int, scale: float) -> int:
+    """Cells that a query takes in a collection of n entries: grows with the fourth root of n, as recall else falls."""
+    return max(1, math.ceil(scale * max(n, 1) ** 0.25))
+
+
+FOUND = "home int, key bigint, ids array<bigint>, near array<bigint>, cos array<float>"
+
+
+def search(spark: SparkSession, index: Index, k: int, scale: float, floor: float = -2.0, copies: bool = True, then: Callable | None = None, ddl: str = FOUND) -> DataFrame:
+    """(home, key, ids, near, cos) of every entry of the index: its least id, its kept ids, and the ids and cosines of
+    at least the k and at most the k + KEPT most similar ids (its own copies included, the entry itself not), most similar first, equal ones by
+    id, none less similar than floor. Entries with neither near ids nor copies may be missing.
+
+    `scale` times the fourth root of the number of entries is the number of cells a query takes in each split. Without
+    `copies` each entry found is named by its least id alone, and its own copies are left out. `then` is a function of
+    the Arrow table of all entries of one home unit, giving record batches of `ddl` instead."""
+    big = 2 * UNIT  # queries that a task takes at most, so that a hot unit is split
+    work = [(s, u, lo) for s, split in enumerate(index.splits) for u in _own(split) for lo in range(0, index.sizes.get(u, 0), big)]
+    cells = cells_of_query(index.n, scale)
     shared = spark.sparkContext.broadcast(index)
+    homes = len(_own(index.splits[0]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i, lo in zip(pdf["i"], pdf["lo"]):
-                yield from _search_block(shared.value, int(i), int(lo), big, k, least, floor, copies)
-
-    tasks = spark.createDataFrame(work or [(0, 0)], "i int, lo int").repartition(max(1, len(work)), "i", "lo") if work else spark.createDataFrame([], "i int, lo int")
-    return tasks.mapInPandas(run, "i int, ids array<bigint>, near array<struct<id: bigint, cos: double>>")
-
-
-def candidates(index: Index, least: int, share: float) -> int:
-    """Candidate entries of a query: at least so many, and a share of all, so that recall doesn't fall with growth."""
-    return max(least, math.ceil(share * int(index.sizes.sum())))
-
-
-def _search_block(index: Index, i: int, lo: int, big: int, k: int, least: int, floor: float, copies: bool = True) -> Iterator[pd.DataFrame]:
-    _, own_ids, own = index.read(i)
-    own_ids, x = own_ids.slice(lo, big), np.ascontiguousarray(own[lo : lo + big])
-    del own
-    d1, d2 = index.distances(x)
-    limit = reach(d1, d2, index.sizes, least)
-    n, top = len(x), k + 1  # the entry itself is one of them
-    best = np.full((n, top), np.float32(floor))
-    name = np.full((n, top), -1, np.int64)  # i' * 2^40 + place in its partition
-    worst = best[:, -1].copy()
-    held: dict[int, list] = {}
-    near = d2.min(axis=1)
-    for a in range(len(index.books[0])):
-        visiting = np.flatnonzero(d1[:, a] + near <= limit)
-        if not len(visiting) or not index.sizes[a].sum():
-            continue
-        j, ids, vecs = index.read(a)
-        edge = np.searchsorted(j, np.arange(len(index.books[1]) + 1))
-        for b in range(len(index.books[1])):
-            s, e = edge[b], edge[b + 1]
-            if s == e:
-                continue
-            q = visiting[d1[visiting, a] + d2[visiting, b] <= limit[visiting]]  # rounded as in reach()
-            if not len(q):
-                continue
-            for s0 in range(s, e, 4096):  # a hot cell in blocks
-                sim = x[q] @ vecs[s0 : min(e, s0 + 4096)].T
-                row, col = np.nonzero(sim > worst[q][:, None])
-                if not len(row):
-                    continue
-                value, row_q = sim[row, col], q[row]
-                order = np.lexsort((-value, row_q))
-                row_q, value, col = row_q[order], value[order], col[order]
-                start = np.flatnonzero(np.concatenate([[True], row_q[1:] != row_q[:-1]]))
-                place = np.arange(len(row_q)) - np.repeat(start, np.diff(np.concatenate([start, [len(row_q)]])))
-                fit = place < top
-                row_q, value, col, place = row_q[fit], value[fit], col[fit], place[fit]
-                u = row_q[place == 0]
-                slot = np.searchsorted(u, row_q)
-                new, new_name = np.full((len(u), top), np.float32(-9)), np.full((len(u), top), -1, np.int64)
-                new[slot, place], new_name[slot, place] = value, (a << 40) + s0 + col
-                both, names = np.concatenate([best[u], new], axis=1), np.concatenate([name[u], new_name], axis=1)
-                pick = np.argsort(-both, axis=1, kind="stable")[:, :top]
-                best[u], name[u] = np.take_along_axis(both, pick, 1), np.take_along_axis(names, pick, 1)
-                worst[u] = best[u, -1]
-        wanted = np.unique(name[(name >> 40) == a] & (1 << 40) - 1)
-        held |= {(a << 40) + int(p): v for p, v in zip(wanted, ids.take(pa.array(wanted)).to_pylist())} if len(wanted) else {}
-    out = []
-    for q in range(n):
-        found = [(float(c), y) for c, m in zip(best[q], name[q]) if m >= 0 for y in held[int(m)][: KEPT if copies else 1]]
-        found.sort(key=lambda t: (-t[0], t[1]))
-        out.append([{"id": y, "cos": min(1.0, c)} for c, y in found[: k + KEPT]])
-    yield pd.DataFrame({"i": np.full(n, i, np.int32), "ids": own_ids.to_pylist(), "near": out})
-
-
-def all_neighbours(vectors: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                s, u, lo = work[x]
+                yield from _search_unit(shared.value, s, u, lo, lo + big, k, cells, floor, copies)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches, schema=_SCHEMA)
+        for home in np.unique(t["home"].to_numpy()):
+            one = merge_lists(t.filter(pa.array(t["home"].to_numpy() == home)), k + KEPT)
+            yield from then(one) if then else one.to_batches()
+
+    tasks = spark.range(0, len(work), 1, max(1, len(work)))
+    return tasks.mapInArrow(run, FOUND).repartitionById(homes, F.col("home")).mapInArrow(gather, ddl)
+
+
+_SCHEMA = pa.schema([("home", pa.int32()), ("key", pa.int64()), ("ids", pa.list_(pa.int64())), ("near", pa.list_(pa.int64())), ("cos", pa.list_(pa.float32()))])
+
+
+def _own(split: Split) -> list[int]:
+    """The units of a split."""
+    return list(range(int(split.first.min()), int((split.first + split.parts).max())))
+
+
+def merge_lists(t: pa.Table, most: int) -> pa.Table:
+    """One row a key, with the `most` best of the ids of all its rows."""
+    t = t.combine_chunks()
+    key, near, cos = t["key"].to_numpy(), _one(t["near"]), _one(t["cos"])
+    of, ids, c = np.repeat(key, np.asarray(near.value_lengths())), near.flatten().to_numpy(), cos.flatten().to_numpy()
+    order = np.lexsort((-c, ids, of))
+    of, ids, c = of[order], ids[order], c[order]
+    if len(of):
+        new = np.concatenate([[True], (of[1:] != of[:-1]) | (ids[1:] != ids[:-1])])
+        of, ids, c = of[new], ids[new], c[new]
+    order = np.lexsort((ids, -c, of))
+    of, ids, c = of[order], ids[order], c[order]
+    names, place = np.unique(key, return_index=True)
+    start = np.searchsorted(of, names)
+    fit = np.arange(len(of)) - start[np.searchsorted(names, of)] < most
+    of, ids, c = of[fit], ids[fit], c[fit]
+    edges = pa.array(np.searchsorted(of, np.append(names, np.iinfo(np.int64).max)), pa.int32())
+    return pa.table([pa.array(t["home"].to_numpy()[place], pa.int32()), pa.array(names), _one(t["ids"]).take(pa.array(place)), pa.ListArray.from_arrays(edges, pa.array(ids)), pa.ListArray.from_arrays(edges, pa.array(c, pa.float32()))], schema=_SCHEMA)
+
+
+def _search_unit(index: Index, s: int, u: int, lo: int, hi: int, k: int, cells: int, floor: float, copies: bool) -> Iterator[pa.RecordBatch]:
+    split = index.splits[s]
+    own, arena = index.read(u), _Arena(index, split)
+    stairs = staircase(len(split.books[0]), len(split.books[1]), cells)
+    block, top = max(16, min(512, (1 << 21) // max(1, len(stairs[0])))), k + 1  # the entry itself is one of them
+    for at in range(lo, min(hi, len(own.cell)), block):
+        x = own.vecs[at : min(at + block, hi)]
+        n = len(x)
+        q, i, j = first_cells(*split.distances(x), stairs, cells)
+        parts = []
+        for _ in arena.rounds(np.unique(i)):
+            places, edge = arena.entries(q, i, j, n)
+            got_place, got_cos, got_size = [], [], np.zeros(n, np.int64)
+            for y in range(n):
+                p = places[edge[y] : edge[y + 1]]
+                cos = arena.vecs.take(p, axis=0) @ x[y] if len(p) <= 1 << 16 else np.concatenate([arena.vecs.take(p[z : z + (1 << 16)], axis=0) @ x[y] for z in range(0, len(p), 1 << 16)])
+                best = np.flatnonzero(cos >= floor) if floor > -1 else np.arange(len(p))
+                if len(best) > top:
+                    best = best[np.argpartition(cos[best], len(best) - top)[-top:]]
+                got_place.append(p[best])
+                got_cos.append(cos[best])
+                got_size[y] = len(best)
+            place, cos, of = np.concatenate(got_place), np.concatenate(got_cos), np.repeat(np.arange(n), got_size)
+            itself = own.first[at + of] == arena.first[place]
+            if copies:
+                keep = ~itself
+                ids, of2, cos2 = arena.expand(place[keep], of[keep], cos[keep])
+                ids1, of1, cos1 = arena.expand(place[itself], of[itself], cos[itself])
+                other = ids1 != own.first[at + of1]
+                parts.append((np.concatenate([ids, ids1[other]]), np.concatenate([of2, of1[other]]), np.concatenate([cos2, cos1[other]])))
+            else:
+                parts.append((arena.first[place[~itself]], of[~itself], cos[~itself]))
+        ids, of, cos = (np.concatenate([p[c] for p in parts]) for c in range(3))
+        order = np.lexsort((ids, -cos, of))
+        ids, of, cos = ids[order], of[order], np.minimum(cos[order], np.float32(1))
+        start = np.searchsorted(of, np.arange(n + 1))
+        fit = np.arange(len(of)) - start[of] < k + KEPT
+        ids, of, cos = ids[fit], of[fit], cos[fit]
+        edge = np.searchsorted(of, np.arange(n + 1))
+        lists = own.ids.slice(at, n)
+        rows = np.flatnonzero(np.diff(edge) > 0) if floor > -1 and copies else np.arange(n)
+        lengths = np.diff(edge)[rows]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(own.home[at : at + n][rows], pa.int32()), pa.array(own.first[at : at + n][rows]), lists.take(pa.array(rows)), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(cos, pa.float32()))], schema=_SCHEMA)
+
+
+def _local(index: Index, k: int, scale: float) -> list:
+    """The rows of search() without a cluster, for tests."""
+    cells = cells_of_query(index.n, scale)
+    parts = [b for s, split in enumerate(index.splits) for u in _own(split) if index.sizes.get(u) for b in _search_unit(index, s, u, 0, index.sizes[u], k, cells, -2.0, True)]
+    return list(merge_lists(pa.Table.from_batches(parts), k + KEPT).to_pandas().itertuples())
+
+
+def all_neighbours(vectors: DataFrame, found: DataFrame, k: int, crowds: int) -> DataFrame:
     """(id, near_id, cos, rank): the k most similar others of each id, from the result of search(). Copies beyond the
-    KEPT that an entry names take the neighbours of the entry."""
-    single = found.filter(F.size("ids") < KEPT).select(F.explode("ids").alias("id"), "near")
-    many = found.filter(F.size("ids") >= KEPT).select(F.element_at("ids", 1).alias("first"), "ids", "near")
-    # Entries with at least KEPT copies: all rows that have a vector equal to that of the entry's first id.
-    keyed = vectors.select("id", F.xxhash64("vec").alias("h"))
-    crowds = keyed.join(many.select(F.col("first").alias("id"), "near"), "id").select("h", "near").dropDuplicates(["h"])
-    rest = keyed.join(crowds, "h").select("id", "near").dropDuplicates(["id"])
-    every = single.unionByName(rest)
-    others = F.slice(F.filter("near", lambda n: n["id"] != F.col("id")), 1, k)
-    return every.select("id", F.posexplode(others).alias("p", "n")).select("id", F.col("n.id").alias("near_id"), F.col("n.cos").alias("cos"), (F.col("p") + 1).alias("rank"))
+    KEPT that an entry names take the neighbours of the entry; `crowds` tells whether there are such."""
+    near = F.concat(F.array(F.struct(F.col("key").alias("id"), F.lit(1.0).cast("float").alias("cos"))), F.arrays_zip(F.col("near").alias("id"), F.col("cos").alias("cos")))
+    rows = found.select("ids", near.alias("near"))
+    every = rows.filter(F.size("ids") < KEPT).select(F.explode("ids").alias("id"), "near")
+    if crowds:
+        many = rows.filter(F.size("ids") >= KEPT).select(F.element_at("ids", 1).alias("id"), "near")
+        # Entries with at least KEPT copies: all rows that have a vector equal to that of the entry's first id.
+        keyed = vectors.filter(F.col("id").isNotNull()).select("id", F.xxhash64("vec").alias("h"))
+        groups = keyed.join(many, "id").select("h", "near").dropDuplicates(["h"])
+        every = every.unionByName(keyed.join(groups, "h").select("id", "near").dropDuplicates(["id"]))
+    best = F.array_sort("near", lambda a, b: F.when(a["cos"] > b["cos"], -1).when(a["cos"] < b["cos"], 1).otherwise(F.when(a["id"] < b["id"], -1).otherwise(1)))
+    others = F.slice(F.filter(best, lambda n: n["id"] != F.col("id")), 1, k)
+    return every.select("id", F.posexplode(others).alias("p", "n")).select("id", F.col("n.id").alias("near_id"), F.col("n.cos").cast("double").alias("cos"), (F.col("p") + 1).alias("rank"))
 
 
-#: Candidate entries of a query in p5_knn and p5_found: at least, and as a share of all.
-CANDIDATES, SHARE = 20_000, 0.15
+#: Cells that a query takes in each split, as a multiple of the fourth root of the number of entries.
+CELLS = 80
 
 
-def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The valid vectors of both tables as (id, vec); rows may be repeated."""
-    a = table(spark, sf_dir, "shared_space").select(F.col("point_id").alias("id"), F.col("vectors").alias("vec"))
-    b = table(spark, sf_dir, "expression_translations_embedded").select(F.col("archive_line").alias("id"), F.col("embedding_vector").alias("vec"))
-    return a.union(b).filter(F.col("id").isNotNull() & is_valid(F.col("vec"), 64))
+def collection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The vectors of both tables as (id, vec), invalid ones too, and the number of rows; rows may be repeated."""
+    a, b = table(spark, sf_dir, "shared_space"), table(spark, sf_dir, "expression_translations_embedded")
+    n = a.count() + b.count()
+    return a.select(F.col("point_id").alias("id"), F.col("vectors").alias("vec")).union(b.select(F.col("archive_line").alias("id"), F.col("embedding_vector").alias("vec"))), n
 
 
-def neighbours(spark: SparkSession, sf_dir: str, k: int = 5, least: int = CANDIDATES) -> DataFrame:
-    vectors = collection(spark, sf_dir)
-    index = build_index(vectors, 64)
-    return all_neighbours(vectors, settle(search(spark, index, k, candidates(index, least, SHARE))), k)
+def neighbours(spark: SparkSession, sf_dir: str, k: int = 5, scale: float = CELLS, floor: float = -2.0) -> DataFrame:
+    """The k most similar others of each valid vector, if their cosine is floor or more."""
+    vectors, n = collection(spark, sf_dir)
+    index = build_index(vectors, 64, n)
+    found = settle(search(spark, index, k, scale, floor))
+    index.drop(spark)
+    return all_neighbours(vectors, found, k, index.crowds)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = neighbours(spark, sf_dir).filter("cos >= 0.9")
+    near = neighbours(spark, sf_dir, floor=0.899).filter("cos >= 0.9")
     return near.select(F.least("id", "near_id").alias("vec_a"), F.greatest("id", "near_id").alias("vec_b")).distinct()
 
 
