@@ -1,14 +1,14 @@
 """Problem 5: the k most similar vectors of every vector, by an inverted multi-index.
 
-The coordinates of unit vectors are cut into two halves, and each half is quantised by its own codebook of about the
-square root of their number of centroids, so a vector lies in the cell (i, j). A query takes the cells in ascending
-order of the summed distances of its halves to the two centroids, a number of cells that grows with the fourth root of
-the collection, and ranks what they hold by cosine. This is done for two ways of halving the coordinates, as a
-neighbour that one misses is mostly found by the other, which costs less than taking several times the cells in one.
+The coordinates of unit vectors are cut into two halves, and each half is quantised by its own codebook, whose size
+grows with the square root of the collection, so a vector lies in the cell (i, j) and a cell holds about fifty. A query
+takes the cells in ascending order of the summed distances of its halves to the two centroids, a number of cells that
+grows with the fourth root of the collection, and ranks what they hold by cosine.
 
 The entries are a table in the shared folder, in units of bounded size of lists (one i each) that lie close together.
-A task takes the queries of one unit and reads the units that their cells lie in, so vectors are shuffled once, when
-the table is written, and neither they nor candidates after it.
+A task takes the queries of one unit, finds the cells of each, and reads the units that these lie in, one at a time;
+all queries that take a cell are multiplied with its entries at once. So vectors are shuffled once, when the table is
+written, and neither they nor candidates after it, and no task holds more than two units.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from lexilathe.session import drop_folder, open_folder, shared_folder, table
 from lexilathe.session import written as settle
 
-#: Ways of halving the coordinates, and vectors a centroid that codebooks are fitted on (chosen by hash).
-SPLITS, SAMPLE_EACH = 2, 64
-#: Entries of a unit, about; entries that a task holds at a time, unless one unit has more.
-UNIT, ARENA = 25_000, 1 << 19
+#: Entries of a cell on average, and vectors a centroid that codebooks are fitted on (chosen by hash).
+CELL, SAMPLE_EACH = 49, 256
+#: Entries of a unit, about, and of its own unit that each query starts with.
+UNIT, START = 15_000, 1_000
 #: Ids of equal vectors that an entry keeps; enough for the neighbours of all of them.
 KEPT = 6
 #: Entries keep coordinates as 16-bit numbers; cosines are right to about 2e-5.
@@ -130,42 +130,34 @@ def along(centroids: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-class Split:
-    """One way of halving: the order of coordinates, the two codebooks, and the units that hold each list: list i lies
-    in units first[i] to first[i] + parts[i] - 1, by the hash of the vector."""
-
-    def __init__(self, order: np.ndarray, books: list[np.ndarray], first: np.ndarray, parts: np.ndarray):
-        self.order, self.books, self.first, self.parts = order, books, first, parts
-
-    def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        half = x.shape[1] // 2
-        part = lambda a, c: (a * a).sum(axis=1)[:, None] - 2 * a @ c.T + (c * c).sum(axis=1)
-        x = x[:, self.order]
-        return part(x[:, :half], self.books[0]), part(x[:, half:], self.books[1])
-
-
 class Unit:
-    """Entries of one unit, sorted by cell: the cell's number, ids (the least KEPT of equal vectors), home (the unit of
-    the first split) and unit vectors."""
+    """Entries of one unit, sorted by cell: the cell's number, ids (the least KEPT of equal vectors) and unit vectors."""
 
-    def __init__(self, cell: np.ndarray, ids: pa.ListArray, home: np.ndarray, vecs: np.ndarray):
-        self.cell, self.ids, self.home, self.vecs = cell, ids, home, vecs
+    def __init__(self, cell: np.ndarray, ids: pa.ListArray, vecs: np.ndarray):
+        self.cell, self.ids, self.vecs = cell, ids, vecs
         self.first = ids.values.to_numpy()[ids.offsets.to_numpy()[:-1]]
 
 
 class Index:
-    """Codebooks (their size grows with the square root of the collection) and the entries in each unit; sent to the
-    tasks. `crowds` is the number of entries with KEPT ids or more."""
+    """The two codebooks (their size grows with the square root of the collection) and the units; sent to the tasks.
+    List i lies in units first[i] to first[i] + parts[i] - 1, by the hash of the vector; `sizes` has the entries of each
+    unit, and `crowds` is the number of entries with KEPT ids or more."""
 
-    def __init__(self, path: str, splits: list[Split], dim: int):
-        self.path, self.splits, self.dim = path, splits, dim
+    def __init__(self, path: str, books: list[np.ndarray], first: np.ndarray, parts: np.ndarray, dim: int):
+        self.path, self.books, self.first, self.parts, self.dim = path, books, first, parts, dim
+        self.units = int((first + parts).max())
         self.sizes, self.crowds, self.n = {}, 0, 0
 
+    def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        half = self.dim // 2
+        part = lambda a, c: (a * a).sum(axis=1)[:, None] - 2 * a @ c.T + (c * c).sum(axis=1)
+        return part(x[:, :half], self.books[0]), part(x[:, half:], self.books[1])
+
     def read(self, u: int) -> Unit:
         import pyarrow.dataset as ds
 
         files, inside = open_folder(f"{self.path}/u={u}")
-        t = ds.dataset(inside, filesystem=files, format="parquet").to_table(columns=["cell", "ids", "home", "vec"]).combine_chunks()
+        t = ds.dataset(inside, filesystem=files, format="parquet").to_table(columns=["cell", "ids", "vec"]).combine_chunks()
         cell = t["cell"].to_numpy()
         if (np.diff(cell) < 0).any():
             t = t.take(pa.array(np.argsort(cell, kind="stable")))
@@ -173,7 +165,7 @@ class Index:
         ids, packed = _one(t["ids"]), _one(t["vec"])
         vecs = np.frombuffer(packed.buffers()[2], np.int16, len(packed) * self.dim, packed.offset * self.dim * 2).reshape(-1, self.dim).astype(np.float32)
         vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
-        return Unit(cell, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))]), pa.int32()), ids.flatten()), t["home"].to_numpy(), vecs)
+        return Unit(cell, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))]), pa.int32()), ids.flatten()), vecs)
 
     def drop(self, spark: SparkSession) -> None:
         drop_folder(spark, self.path)
@@ -183,10 +175,10 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
     return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
 
 
-def _units(split_first: int, lists: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(first, parts, next number): units of about UNIT entries from the estimated number of entries of each list, in
-    the order given. A list of more than two units' entries has units of its own."""
-    first, parts, u, held = np.zeros(len(lists), np.int64), np.ones(len(lists), np.int64), split_first, 0.0
+def _units(lists: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, parts): units of about UNIT entries from the estimated number of entries of each list, in the order
+    given. A list of more than two units' entries has units of its own."""
+    first, parts, u, held = np.zeros(len(lists), np.int64), np.ones(len(lists), np.int64), 0, 0.0
     for i in order:
         if lists[i] > 2 * UNIT:
             u += held > 0
@@ -196,32 +188,26 @@ def _units(split_first: int, lists: np.ndarray, order: np.ndarray) -> tuple[np.n
             if held and held + lists[i] > UNIT:
                 u, held = u + 1, 0.0
             first[i], held = u, held + max(float(lists[i]), 1e-9)
-    return first, parts, int(u + (held > 0))
+    return first, parts
 
 
-def build_index(vectors: DataFrame, dim: int, n: int | None = None, splits: int = SPLITS) -> Index:
+def build_index(vectors: DataFrame, dim: int, n: int | None = None) -> Index:
     """Writes the index of (id long, vec array<float>). Rows with a null id or an invalid vector are left out. Repeated
     rows and equal vectors become one entry: they are merged within each batch before the shuffle and again before
     writing, so a group of copies of any size costs no more than its rows' reading. `n` is the number of rows, where it
     is known; it sets the number of centroids alone."""
     spark = vectors.sparkSession
     n = vectors.count() if n is None else n
-    k = max(1, math.ceil(math.sqrt(n)))
+    k = max(1, math.ceil(math.sqrt(n / CELL)))
     want = SAMPLE_EACH * k
     share = F.lit(int((1 << 30) * min(1.0, want / max(n, 1))))
     rows = vectors.filter(F.col("id").isNotNull()).select("id", "vec")
     taken = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= share).select("vec").limit(2 * want).toArrow()["vec"]
     x = np.concatenate([valid_rows(c, dim)[1] for c in taken.chunks] + [np.zeros((0, dim))]).astype(np.float32)
-    half, made, number = dim // 2, [], 0
-    for s in range(splits):
-        order = np.arange(dim) if s == 0 else np.random.default_rng(s).permutation(dim)
-        parts = [x[:, order[:half]], x[:, order[half:]]]
-        books = [fit_codebook(p, k) if len(p) else np.zeros((1, p.shape[1]), np.float32) for p in parts]
-        lists = np.bincount(nearest(parts[0], books[0]), minlength=len(books[0])) * (n / max(len(x), 1))
-        first, pieces, number = _units(number, lists, along(books[0]))
-        made.append(Split(order, books, first, pieces))
-    homes = int((made[0].first + made[0].parts).max())
-    index = Index(shared_folder(spark, "index"), made, dim)
+    half = dim // 2
+    books = [fit_codebook(p, k) if len(p) else np.zeros((1, p.shape[1]), np.float32) for p in (x[:, :half], x[:, half:])]
+    lists = np.bincount(nearest(x[:, :half], books[0]), minlength=len(books[0])) * (n / max(len(x), 1))
+    index = Index(shared_folder(spark, "index"), books, *_units(lists, along(books[0])), dim)
 
     def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,37 +217,27 @@ def build_index(vectors: DataFrame, dim: int, n: int | None = None, splits: int
             ids, h, unit = batch.column(0).to_numpy()[at], batch.column(2).to_numpy()[at], unit.astype(np.float32)
             one, offsets, values = _merge_copies(h, np.arange(len(h) + 1), ids)
             h, unit = h[one], unit[one]
-            packed, home = np.rint(unit * STEP).astype(np.int16), None
-            for s in made:
-                parted = unit[:, s.order]
-                i, j = nearest(parted[:, :half], s.books[0]), nearest(parted[:, half:], s.books[1])
-                u = s.first[i] + h % s.parts[i]
-                home = u if home is None else home
-                yield _batch(u, i * len(s.books[1]) + j, h, offsets, values, home, packed)
+            i, j = nearest(unit[:, :half], books[0]), nearest(unit[:, half:], books[1])
+            yield _batch(index.first[i] + h % index.parts[i], i * len(books[1]) + j, h, offsets, values, np.rint(unit * STEP).astype(np.int16))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches, schema=schema)  # the entries of one unit
-        if not t.num_rows:
-            return
         for u in np.unique(t["u"].to_numpy()):
             part = t.filter(pa.array(t["u"].to_numpy() == u)).combine_chunks()
             ids = _one(part["ids"])
             one, offsets, values = _merge_copies(part["h"].to_numpy(), np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))]), ids.flatten().to_numpy())
-            cell = part["cell"].to_numpy()[one]
-            order = np.argsort(cell, kind="stable")
+            order = np.argsort(part["cell"].to_numpy()[one], kind="stable")
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)).take(pa.array(order))
             rest = part.take(pa.array(one[order]))
-            yield pa.RecordBatch.from_arrays([_one(rest[c]) if c != "ids" else lists for c in ("u", "cell", "ids", "home", "vec")], ["u", "cell", "ids", "home", "vec"])
+            yield pa.RecordBatch.from_arrays([lists if c == "ids" else _one(rest[c]) for c in ("u", "cell", "ids", "vec")], ["u", "cell", "ids", "vec"])
 
-    schema = pa.schema([("u", pa.int32()), ("cell", pa.int64()), ("h", pa.int64()), ("ids", pa.list_(pa.int64())), ("home", pa.int32()), ("vec", pa.binary())])
-    ddl = "u int, cell bigint, h bigint, ids array<bigint>, home int, vec binary"
-    entries = rows.withColumn("h", F.xxhash64("vec")).mapInArrow(quantise, ddl).repartitionById(max(number, 1), F.col("u"))
-    entries.mapInArrow(merge, "u int, cell bigint, ids array<bigint>, home int, vec binary").write.partitionBy("u").parquet(index.path)
+    schema = pa.schema([("u", pa.int32()), ("cell", pa.int64()), ("h", pa.int64()), ("ids", pa.list_(pa.int64())), ("vec", pa.binary())])
+    entries = rows.withColumn("h", F.xxhash64("vec")).mapInArrow(quantise, "u int, cell bigint, h bigint, ids array<bigint>, vec binary").repartitionById(index.units, F.col("u"))
+    entries.mapInArrow(merge, "u int, cell bigint, ids array<bigint>, vec binary").write.partitionBy("u").parquet(index.path)
     stored = spark.read.schema("ids array<bigint>, u int").parquet(index.path)
     for r in stored.groupBy("u").agg(F.count("*").alias("n"), F.count_if(F.size("ids") >= KEPT).alias("crowds")).collect():  # a row a unit
         index.sizes[r.u] = r.n
-        if r.u < homes:
-            index.crowds, index.n = index.crowds + r.crowds, index.n + r.n
+        index.crowds, index.n = index.crowds + r.crowds, index.n + r.n
     return index
 
 
@@ -278,87 +254,11 @@ def _merge_copies(h: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tup
     return place, np.concatenate([[0], np.cumsum(np.minimum(count, KEPT))]), values[keep]
 
 
-def _batch(u, cell, h, offsets, values, home, packed) -> pa.RecordBatch:
+def _batch(u, cell, h, offsets, values, packed) -> pa.RecordBatch:
     n, width = len(u), packed.shape[1] * 2
     vec = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(packed))])
     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int32()), pa.array(cell, pa.int64()), pa.array(h, pa.int64()), lists, pa.array(home, pa.int32()), vec], ["u", "cell", "h", "ids", "home", "vec"])
-
-
-class _Arena:
-    """The units of one split that a task holds at the time."""
-
-    def __init__(self, index: Index, split: Split):
-        self.index, self.split, self.units = index, split, {}
-        self.base = np.full((len(split.first), int(split.parts.max())), -1, np.int64)
-
-    def rounds(self, lists: np.ndarray) -> Iterator[None]:
-        """Makes the units of these lists available: all at once, or if they are too many, some in each round."""
-        s, sizes = self.split, self.index.sizes
-        need = [u for u in sorted({int(s.first[i]) + p for i in lists for p in range(int(s.parts[i]))}) if sizes.get(u)]
-        if all(u in self.units for u in need):
-            yield
-            return
-        total = sum(sizes[u] for u in need)
-        if total + sum(sizes[u] for u in self.units if u not in need) <= ARENA:
-            self._load([*self.units, *need])
-            yield
-        elif total <= ARENA:
-            self._load(need)
-            yield
-        else:
-            while need:
-                some, held = [], 0
-                while need and (not some or held + sizes[need[0]] <= ARENA):
-                    held += sizes[need[0]]
-                    some.append(need.pop(0))
-                self._load(some)
-                yield
-
-    def _load(self, wanted: list[int]) -> None:
-        s, width = self.split, len(self.split.books[1])
-        self.units = {u: self.units.get(u) or self.index.read(u) for u in dict.fromkeys(wanted)}
-        self.base[:] = -1
-        starts, at, used = [], 0, 0
-        for u, unit in self.units.items():
-            lists = np.flatnonzero((s.first <= u) & (u < s.first + s.parts))
-            edges = np.searchsorted(unit.cell, (lists[:, None] * width + np.arange(width + 1)).ravel())
-            starts.append(edges + at)
-            self.base[lists, u - s.first[lists]] = used + np.arange(len(lists)) * (width + 1)
-            at, used = at + len(unit.cell), used + len(edges)
-        held = list(self.units.values())
-        self.starts = np.concatenate(starts)
-        self.vecs = np.concatenate([x.vecs for x in held])
-        self.first = np.concatenate([x.first for x in held])
-        counts = np.concatenate([np.asarray(x.ids.value_lengths()) for x in held])
-        self.counts, self.values = counts, np.concatenate([x.ids.values.to_numpy() for x in held])
-        self.offsets = np.cumsum(counts) - counts
-
-    def entries(self, q: np.ndarray, i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places of entries, edges of each query's part) of visits (q ascending, i, j) of n queries."""
-        found = []
-        for p in range(self.base.shape[1]):
-            at = self.base[i, p]
-            here = np.flatnonzero(at >= 0) if p or (at < 0).any() else slice(None)
-            at = at[here] + j[here]
-            lo, size = self.starts[at], self.starts[at + 1] - self.starts[at]
-            full = np.flatnonzero(size)
-            lo, size, of = lo[full], size[full], q[here][full]
-            places = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            found.append((places, np.repeat(of, size)))
-        if len(found) == 1:
-            places, of = found[0]
-        else:
-            places, of = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(of, kind="stable")
-            places, of = places[order], of[order]
-        return places, np.searchsorted(of, np.arange(n + 1))
-
-    def expand(self, places: np.ndarray, q: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All kept ids of entries instead of the entries."""
-        size = self.counts[places]
-        ids = self.values[np.repeat(self.offsets[places] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-        return ids, np.repeat(q, size), np.repeat(cos, size)
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int32()), pa.array(cell, pa.int64()), pa.array(h, pa.int64()), lists, vec], ["u", "cell", "h", "ids", "vec"])
 
 
 def cells_of_query(n: int, scale: float) -> int:
@@ -370,114 +270,158 @@ FOUND = "home int, key bigint, ids array<bigint>, near array<bigint>, cos array<
 
 
 def search(spark: SparkSession, index: Index, k: int, scale: float, floor: float = -2.0, copies: bool = True, then: Callable | None = None, ddl: str = FOUND) -> DataFrame:
-    """(home, key, ids, near, cos) of every entry of the index: its least id, its kept ids, and the ids and cosines of
-    at least the k and at most the k + KEPT most similar ids (its own copies included, the entry itself not), most similar first, equal ones by
-    id, none less similar than floor. Entries with neither near ids nor copies may be missing.
-
-    `scale` times the fourth root of the number of entries is the number of cells a query takes in each split. Without
-    `copies` each entry found is named by its least id alone, and its own copies are left out. `then` is a function of
-    the Arrow table of all entries of one home unit, giving record batches of `ddl` instead."""
-    big = 2 * UNIT  # queries that a task takes at most, so that a hot unit is split
-    work = [(s, u, lo) for s, split in enumerate(index.splits) for u in _own(split) for lo in range(0, index.sizes.get(u, 0), big)]
+    """(home, key, ids, near, cos) of every entry of the index: its unit, its least id, its kept ids, and the ids and
+    cosines of the k + KEPT most similar ids (its own copies included, the entry itself not), most similar first, equal
+    ones by id, none less similar than floor. Entries with neither near ids nor copies may be missing.
+
+    `scale` times the fourth root of the number of entries is the number of cells that a query takes. Without `copies`
+    each entry found is named by its least id alone, and its own copies are left out. `then` is a function of the Arrow
+    table of all entries of one unit, giving record batches of `ddl` instead."""
+    work = [u for u in range(index.units) if index.sizes.get(u)]
     cells = cells_of_query(index.n, scale)
     shared = spark.sparkContext.broadcast(index)
-    homes = len(_own(index.splits[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                s, u, lo = work[x]
-                yield from _search_unit(shared.value, s, u, lo, lo + big, k, cells, floor, copies)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(batches, schema=_SCHEMA)
-        for home in np.unique(t["home"].to_numpy()):
-            one = merge_lists(t.filter(pa.array(t["home"].to_numpy() == home)), k + KEPT)
-            yield from then(one) if then else one.to_batches()
+                found = search_unit(shared.value, work[x], k, cells, floor, copies)
+                yield from then(found) if then else found.to_batches()
 
-    tasks = spark.range(0, len(work), 1, max(1, len(work)))
-    return tasks.mapInArrow(run, FOUND).repartitionById(homes, F.col("home")).mapInArrow(gather, ddl)
+    return spark.range(0, len(work), 1, max(1, len(work))).mapInArrow(run, ddl)
 
 
 _SCHEMA = pa.schema([("home", pa.int32()), ("key", pa.int64()), ("ids", pa.list_(pa.int64())), ("near", pa.list_(pa.int64())), ("cos", pa.list_(pa.float32()))])
-
-
-def _own(split: Split) -> list[int]:
-    """The units of a split."""
-    return list(range(int(split.first.min()), int((split.first + split.parts).max())))
-
-
-def merge_lists(t: pa.Table, most: int) -> pa.Table:
-    """One row a key, with the `most` best of the ids of all its rows."""
-    t = t.combine_chunks()
-    key, near, cos = t["key"].to_numpy(), _one(t["near"]), _one(t["cos"])
-    of, ids, c = np.repeat(key, np.asarray(near.value_lengths())), near.flatten().to_numpy(), cos.flatten().to_numpy()
-    order = np.lexsort((-c, ids, of))
-    of, ids, c = of[order], ids[order], c[order]
-    if len(of):
-        new = np.concatenate([[True], (of[1:] != of[:-1]) | (ids[1:] != ids[:-1])])
-        of, ids, c = of[new], ids[new], c[new]
-    order = np.lexsort((ids, -c, of))
-    of, ids, c = of[order], ids[order], c[order]
-    names, place = np.unique(key, return_index=True)
-    start = np.searchsorted(of, names)
-    fit = np.arange(len(of)) - start[np.searchsorted(names, of)] < most
-    of, ids, c = of[fit], ids[fit], c[fit]
-    edges = pa.array(np.searchsorted(of, np.append(names, np.iinfo(np.int64).max)), pa.int32())
-    return pa.table([pa.array(t["home"].to_numpy()[place], pa.int32()), pa.array(names), _one(t["ids"]).take(pa.array(place)), pa.ListArray.from_arrays(edges, pa.array(ids)), pa.ListArray.from_arrays(edges, pa.array(c, pa.float32()))], schema=_SCHEMA)
-
-
-def _search_unit(index: Index, s: int, u: int, lo: int, hi: int, k: int, cells: int, floor: float, copies: bool) -> Iterator[pa.RecordBatch]:
-    split = index.splits[s]
-    own, arena = index.read(u), _Arena(index, split)
-    stairs = staircase(len(split.books[0]), len(split.books[1]), cells)
-    block, top = max(16, min(512, (1 << 21) // max(1, len(stairs[0])))), k + 1  # the entry itself is one of them
-    for at in range(lo, min(hi, len(own.cell)), block):
-        x = own.vecs[at : min(at + block, hi)]
-        n = len(x)
-        q, i, j = first_cells(*split.distances(x), stairs, cells)
-        parts = []
-        for _ in arena.rounds(np.unique(i)):
-            places, edge = arena.entries(q, i, j, n)
-            got_place, got_cos, got_size = [], [], np.zeros(n, np.int64)
-            for y in range(n):
-                p = places[edge[y] : edge[y + 1]]
-                cos = arena.vecs.take(p, axis=0) @ x[y] if len(p) <= 1 << 16 else np.concatenate([arena.vecs.take(p[z : z + (1 << 16)], axis=0) @ x[y] for z in range(0, len(p), 1 << 16)])
-                best = np.flatnonzero(cos >= floor) if floor > -1 else np.arange(len(p))
-                if len(best) > top:
-                    best = best[np.argpartition(cos[best], len(best) - top)[-top:]]
-                got_place.append(p[best])
-                got_cos.append(cos[best])
-                got_size[y] = len(best)
-            place, cos, of = np.concatenate(got_place), np.concatenate(got_cos), np.repeat(np.arange(n), got_size)
-            itself = own.first[at + of] == arena.first[place]
-            if copies:
-                keep = ~itself
-                ids, of2, cos2 = arena.expand(place[keep], of[keep], cos[keep])
-                ids1, of1, cos1 = arena.expand(place[itself], of[itself], cos[itself])
-                other = ids1 != own.first[at + of1]
-                parts.append((np.concatenate([ids, ids1[other]]), np.concatenate([of2, of1[other]]), np.concatenate([cos2, cos1[other]])))
-            else:
-                parts.append((arena.first[place[~itself]], of[~itself], cos[~itself]))
-        ids, of, cos = (np.concatenate([p[c] for p in parts]) for c in range(3))
-        order = np.lexsort((ids, -cos, of))
-        ids, of, cos = ids[order], of[order], np.minimum(cos[order], np.float32(1))
-        start = np.searchsorted(of, np.arange(n + 1))
-        fit = np.arange(len(of)) - start[of] < k + KEPT
-        ids, of, cos = ids[fit], of[fit], cos[fit]
-        edge = np.searchsorted(of, np.arange(n + 1))
-        lists = own.ids.slice(at, n)
-        rows = np.flatnonzero(np.diff(edge) > 0) if floor > -1 and copies else np.arange(n)
-        lengths = np.diff(edge)[rows]
-        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(own.home[at : at + n][rows], pa.int32()), pa.array(own.first[at : at + n][rows]), lists.take(pa.array(rows)), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(cos, pa.float32()))], schema=_SCHEMA)
-
-
-def _local(index: Index, k: int, scale: float) -> list:
-    """The rows of search() without a cluster, for tests."""
-    cells = cells_of_query(index.n, scale)
-    parts = [b for s, split in enumerate(index.splits) for u in _own(split) if index.sizes.get(u) for b in _search_unit(index, s, u, 0, index.sizes[u], k, cells, -2.0, True)]
-    return list(merge_lists(pa.Table.from_batches(parts), k + KEPT).to_pandas().itertuples())
+#: Queries of a unit that are worked on at a time, and hits after which only the best of each query are kept.
+BLOCK, HITS = 50_000, 4_000_000
+
+
+def search_unit(index: Index, u: int, k: int, cells: int, floor: float, copies: bool) -> pa.Table:
+    """The rows of search() for one unit, sorted by key."""
+    own = index.read(u)
+    parts = [_search_block(index, u, own, lo, min(lo + BLOCK, len(own.cell)), k, cells, floor, copies) for lo in range(0, len(own.cell), BLOCK)]
+    t = pa.concat_tables(parts).combine_chunks()
+    return t.take(pa.array(np.argsort(t["key"].to_numpy(), kind="stable")))
+
+
+class _Best:
+    """The best hits (query, entry, cosine) of each query. A hit is kept if it is as good as the query's bound, which
+    rises to its top-th best hit so far."""
+
+    def __init__(self, n: int, top: int, floor: float):
+        self.n, self.top, self.bound, self.new = n, top, np.full(n, floor, np.float32), 0
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, q: np.ndarray, entry: np.ndarray, cos: np.ndarray) -> None:
+        self.parts.append((q, entry, cos))
+        self.new += len(q)
+        if self.new >= HITS:
+            self.shrink()
+
+    def shrink(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, entry, cos = (np.concatenate([p[c] for p in self.parts] or [np.zeros(0, t)]) for c, t in enumerate((np.int64, np.int64, np.float32)))
+        # One sort of query, distance (20 bits) and place.
+        far = np.clip((1.0 - cos.astype(np.float64)) * (1 << 18), 0, (1 << 20) - 1).astype(np.uint64)
+        keys = (q.astype(np.uint64) << np.uint64(48)) | (far << np.uint64(28)) | np.arange(len(q), dtype=np.uint64)
+        keys.sort()
+        at, of = (keys & np.uint64((1 << 28) - 1)).astype(np.int64), (keys >> np.uint64(48)).astype(np.int64)
+        edge = np.searchsorted(of, np.arange(self.n + 1))
+        # All that are as far as the last of the best, so that the order within the 20 bits loses none.
+        rank = np.arange(len(of)) - edge[of]
+        last = np.minimum(edge[:-1] + self.top, edge[1:]) - 1
+        limit = np.where(last >= edge[:-1], far[at[np.maximum(last, 0)]] if len(at) else 0, 0)
+        keep = (rank < self.top) | (far[at] <= limit[of])
+        at = at[keep]
+        q, entry, cos = q[at], entry[at], cos[at]
+        full = np.flatnonzero(np.diff(edge) >= self.top)
+        self.bound[full] = np.maximum(self.bound[full], 1.0 - (limit[full] + 1.0) / (1 << 18) - 1e-6)
+        self.parts, self.new = [(q, entry, cos)], 0
+        return q, entry, cos
+
+
+def _search_block(index: Index, u: int, own: Unit, lo: int, hi: int, k: int, cells: int, floor: float, copies: bool) -> pa.Table:
+    x, n, width = own.vecs[lo:hi], hi - lo, len(index.books[1])
+    stairs = staircase(*map(len, index.books), cells)
+    visits = []
+    step = max(16, (1 << 21) // max(1, len(stairs[0])))
+    for at in range(0, n, step):
+        q, i, j = first_cells(*index.distances(x[at : at + step]), stairs, cells)
+        visits.append(((q + at).astype(np.int32), (i * width + j).astype(np.int32 if index.units * width < 1 << 31 else np.int64)))
+    q, cell = (np.concatenate(v) for v in zip(*visits))
+    order = np.argsort(cell if len(index.books[0]) * width > 1 << 16 else cell.astype(np.uint16), kind="stable")
+    q, cell = q[order], cell[order]
+    del visits, order
+    best = _Best(n, k + 1, floor)  # the entry itself is one of them
+    started = np.zeros(len(own.cell), bool)
+    if floor < -1:
+        # A start with entries of the own unit gives each query a bound; they aren't looked at again.
+        some = np.unique(np.linspace(0, len(own.cell) - 1, START).astype(np.int64))
+        started[some] = True
+        for at in range(0, n, 4096):
+            sim = x[at : at + 4096] @ own.vecs[some].T
+            top = np.argpartition(sim, max(0, len(some) - k - 1), axis=1)[:, -k - 1 :]
+            best.add(np.repeat(np.arange(at, at + len(sim)), top.shape[1]), (u << 40) + some[top].ravel(), np.take_along_axis(sim, top, 1).ravel())
+        best.shrink()
+    taken, edge = np.unique(cell, return_index=True)
+    edge = np.append(edge, len(cell))
+    lists = np.unique(taken // width)
+    need = [v for v in sorted({int(index.first[i]) + p for i in lists for p in range(int(index.parts[i]))}, key=lambda v: (v != u, v)) if index.sizes.get(v)]
+    names = {}
+    for v in need:
+        unit = own if v == u else index.read(v)
+        held, start = np.unique(unit.cell, return_index=True)
+        start = np.append(start, len(unit.cell))
+        for c, t in zip(*np.intersect1d(held, taken, assume_unique=True, return_indices=True)[1:]):
+            some = q[edge[t] : edge[t + 1]]
+            for s in range(start[c], start[c + 1], 4096):  # a hot cell in blocks
+                e = min(s + 4096, start[c + 1])
+                for z in range(0, len(some), max(1, (1 << 22) // (e - s))):
+                    part = some[z : z + max(1, (1 << 22) // (e - s))]
+                    sim = x.take(part, axis=0) @ unit.vecs[s:e].T
+                    if v == u and started[s:e].any():
+                        sim[:, started[s:e]] = -9
+                    hit = np.flatnonzero(sim >= best.bound.take(part)[:, None])
+                    if len(hit):
+                        row = hit // (e - s)
+                        best.add(part[row].astype(np.int64), (v << 40) + s + hit - row * (e - s), sim.ravel()[hit])
+        entries = best.shrink()[1]
+        mine = np.unique(entries[(entries >> 40) == v])
+        names[v] = (mine, unit.ids.take(pa.array(mine & (1 << 40) - 1)))
+    of, entry, cos = best.shrink()
+    return _named(own, lo, hi, u, of, entry, cos, names, k, floor, copies)
+
+
+def _named(own: Unit, lo: int, hi: int, u: int, of: np.ndarray, entry: np.ndarray, cos: np.ndarray, names: dict, k: int, floor: float, copies: bool) -> pa.Table:
+    """The hits as lists of ids; `names` has the ids of the entries of each unit."""
+    cos = np.minimum(cos, np.float32(1))
+    itself = entry == (u << 40) + lo + of
+    if not copies:
+        of, entry, cos, itself = of[~itself], entry[~itself], cos[~itself], itself[~itself]
+    known = np.concatenate([n[0] for n in names.values()] or [np.zeros(0, np.int64)])
+    lists = pa.concat_arrays([n[1] for n in names.values()]) if names else pa.array([], pa.list_(pa.int64()))
+    order = np.argsort(known)
+    at = order[np.searchsorted(known[order], entry)] if len(entry) else np.zeros(0, np.int64)
+    size, flat = np.asarray(lists.value_lengths()), lists.flatten().to_numpy()
+    first = np.cumsum(size) - size
+    if copies:
+        many = size[at]
+        ids = flat[np.repeat(first[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        of, cos = np.repeat(of, many), np.repeat(cos, many)
+        other = ids != own.first[lo + of]
+        ids, of, cos = ids[other], of[other], cos[other]
+    else:
+        ids = flat[first[at]]
+    order = np.lexsort((ids, -cos, of))
+    ids, of, cos = ids[order], of[order], cos[order]
+    start = np.searchsorted(of, np.arange(hi - lo + 1))
+    fit = np.arange(len(of)) - start[of] < k + KEPT
+    ids, of, cos = ids[fit], of[fit], cos[fit]
+    edge = np.searchsorted(of, np.arange(hi - lo + 1))
+    rows = np.flatnonzero(np.diff(edge) > 0) if floor > -1 and copies else np.arange(hi - lo)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.diff(edge)[rows])]), pa.int32())
+    return pa.table(
+        [pa.array(np.full(len(rows), u), pa.int32()), pa.array(own.first[lo:hi][rows]), own.ids.slice(lo, hi - lo).take(pa.array(rows)), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(cos, pa.float32()))],
+        schema=_SCHEMA,
+    )
 
 
 def all_neighbours(vectors: DataFrame, found: DataFrame, k: int, crowds: int) -> DataFrame:
@@ -497,8 +441,8 @@ def all_neighbours(vectors: DataFrame, found: DataFrame, k: int, crowds: int) ->
     return every.select("id", F.posexplode(others).alias("p", "n")).select("id", F.col("n.id").alias("near_id"), F.col("n.cos").cast("double").alias("cos"), (F.col("p") + 1).alias("rank"))
 
 
-#: Cells that a query takes in each split, as a multiple of the fourth root of the number of entries.
-CELLS = 80
+#: Cells that a query takes, as a multiple of the fourth root of the number of entries.
+CELLS = 24
 
 
 def collection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
