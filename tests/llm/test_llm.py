@@ -278,7 +278,8 @@ def test_p7_components_and_squaring(spark):
     blocks = [(g * 10 + a, g * 10 + b, 0.6) for g in range(2) for a in range(6) for b in range(a + 1, 6)] + [(0, 10, 0.05)]
     df = spark.createDataFrame(blocks, "a long, b long, w double")
     by_joins = {r.node: r.label for r in clusters.mcl_by_joins(df).collect()}
-    dense = {r.node: r.label for r in clusters.mcl_dense(df.toPandas()).itertuples(index=False)}
+    pdf = df.toPandas()
+    dense = dict(zip(*clusters.mcl_dense(*(pdf[c].to_numpy() for c in "abw"))[:2]))
     for labels in (by_joins, dense):
         groups = {}
         for n, label in labels.items():
@@ -299,7 +300,11 @@ def test_p7_large_clusters_by_either_path(spark):
     edges = [(g * 1000 + a, g * 1000 + b, round(rng.uniform(0.1, 0.6), 3)) for g, (n, p) in enumerate(((150, 1.0), (200, 0.4))) for a in range(n) for b in range(a + 1, n) if rng.random() < p]
     edges += [(0, 1000, 0.1), (1, 1001, 0.1)] + [(2000 + i, 2001 + i, 0.3) for i in range(90)] + [(3000, 3001, 0.6), (3001, 3002, 0.1), (3000, 3003, 0.1)]
     df = spark.createDataFrame(edges, "a long, b long, w double")
-    dense = partition(clusters.mcl_dense(df.toPandas()).itertuples(index=False))
+    pdf = df.toPandas()
+    nodes, labels, flow, drawn = clusters.mcl_dense(*(pdf[c].to_numpy() for c in "abw"))
+    dense = partition(zip(nodes.tolist(), labels.tolist()))
+    by_joins = {r.node: (r.flow, r.drawn) for r in clusters.mcl_by_joins(df).collect()}
+    assert all(by_joins[x] == pytest.approx((f, g), abs=5e-3) for x, f, g in zip(nodes.tolist(), flow, drawn))
     assert dense == partition(map(tuple, clusters.mcl_by_joins(df).collect()))
     assert list(range(150)) in dense and list(range(1000, 1200)) in dense
 
