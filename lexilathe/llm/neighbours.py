@@ -1,7 +1,7 @@
 """Problem 5: the k most similar vectors of every vector, by an inverted multi-index.
 
 The coordinates of unit vectors are cut into two halves, and each half is quantised by its own codebook, whose size
-grows with the square root of the collection, so a vector lies in the cell (i, j) and a cell holds about fifty. A query
+grows with the square root of the collection, so a vector lies in the cell (i, j) and a cell holds about sixty. A query
 takes the cells in ascending order of the summed distances of its halves to the two centroids, a number of cells that
 grows with the fourth root of the collection, and ranks what they hold by cosine.
 
@@ -26,7 +26,7 @@ from lexilathe.session import drop_folder, open_folder, shared_folder, table
 from lexilathe.session import written as settle
 
 #: Entries of a cell on average, and vectors a centroid that codebooks are fitted on (chosen by hash).
-CELL, SAMPLE_EACH = 49, 256
+CELL, SAMPLE_EACH = 64, 256
 #: Entries of a unit, about, and of its own unit that each query starts with.
 UNIT, START = 15_000, 1_000
 #: Ids of equal vectors that an entry keeps; enough for the neighbours of all of them.
@@ -442,7 +442,7 @@ def all_neighbours(vectors: DataFrame, found: DataFrame, k: int, crowds: int) ->
 
 
 #: Cells that a query takes, as a multiple of the fourth root of the number of entries.
-CELLS = 24
+CELLS = 17
 
 
 def collection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:

@@ -162,9 +162,9 @@ def test_p5_heap_and_batch_take_the_same_cells(k1, k2, count):
 
 def test_p5_cells_and_codebooks_grow_with_the_collection(spark):
     assert [neighbours.cells_of_query(n, 20) for n in (0, 10_000, 100_000_000)] == [20, 200, 2_000]
-    df = spark.range(4900).select("id", F.array(*[F.randn(i) for i in range(8)]).cast("array<float>").alias("vec"))
+    df = spark.range(6400).select("id", F.array(*[F.randn(i) for i in range(8)]).cast("array<float>").alias("vec"))
     index = neighbours.build_index(df, 8)
-    assert [len(b) for b in index.books] == [10, 10] and index.n == 4900 and not index.crowds
+    assert [len(b) for b in index.books] == [10, 10] and index.n == 6400 and not index.crowds
     index.drop(spark)
 
 
