@@ -442,7 +442,7 @@ def all_neighbours(vectors: DataFrame, found: DataFrame, k: int, crowds: int) ->
 
 
 #: Cells that a query takes, as a multiple of the fourth root of the number of entries.
-CELLS = 17
+CELLS = 18.5
 
 
 def collection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
