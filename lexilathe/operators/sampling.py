@@ -36,10 +36,24 @@ def allocate_largest_remainder(counts: DataFrame, stratum: str, n: int) -> DataF
     return ranked.crossJoin(F.broadcast(missing)).withColumn("take", F.least("size", F.col("base") + F.when(F.col("r") <= F.col("missing"), 1).otherwise(0))).select(stratum, "size", "take")
 
 
+def first_by_hash(df: DataFrame, by: list[str], h: Column, key: str, take: str) -> DataFrame:
+    """The `take` (a column) rows of each group that come first by the hex digest h, ties by key.
+
+    Rows are counted by group and the first three digits of the digest; only those up to the bucket in which the group
+    reaches its number are ranked. So a group of any size is neither gathered nor sorted whole, and none is lost."""
+    bucket = F.substring("_h", 1, 3)
+    rows = df.withColumn("_h", h)
+    counts = rows.groupBy(*by, bucket.alias("_b")).agg(F.count("*").alias("_n"), F.first(take).alias("_take"))
+    run = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n"))
+    last = run.filter(F.col("_before") < F.col("_take")).groupBy(*by).agg(F.max("_b").alias("_last"))
+    near = rows.join(last, by).filter(bucket <= F.col("_last"))
+    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", key)))
+    return ranked.filter(F.col("_r") <= F.col(take)).drop("_h", "_last", "_r")
+
+
 def stratified(df: DataFrame, stratum: str, key: str, allocation: DataFrame, seed: int) -> DataFrame:
     """The rows of each stratum that come first by hash, as many as the allocation takes."""
-    w = Window.partitionBy(stratum).orderBy(draw_order(seed, key), key)
-    return df.withColumn("r", F.row_number().over(w)).join(allocation.select(stratum, "take"), stratum).filter("r <= take").drop("r", "take")
+    return first_by_hash(df.join(allocation.select(stratum, "take"), stratum), [stratum], draw_order(seed, key), key, "take").drop("take")
 
 
 def replicate(df: DataFrame, reps: int) -> DataFrame:

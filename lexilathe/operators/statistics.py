@@ -50,3 +50,17 @@ def min_max(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
     """df with value scaled to 0..1 within each partition; 0 where all are equal."""
     span = df.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     return df.join(span, by).withColumn(name, F.when(F.col("hi") > F.col("lo"), (F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)).drop("lo", "hi")
+
+
+def places(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """rows with `name`: one more than the number of rows of a lesser value (null values last). Equal values are counted
+    first, and the counts are summed up by ranges of the value, so no task holds all rows."""
+    counts = rows.groupBy(value).agg(F.count("*").alias("_n")).repartitionByRange(value).withColumn("_part", F.spark_partition_id())
+    from lexilathe.session import settle
+
+    counts = settle(counts)
+    parts = counts.groupBy("_part").agg(F.sum("_n").alias("_sum"))  # a row a partition
+    before = parts.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy(F.asc_nulls_last(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumn("_inside", inside).join(F.broadcast(before), "_part").select(F.col(value).alias("_v"), (F.col("_before") + F.col("_inside") + 1).alias(name))
+    return rows.join(placed, rows[value].eqNullSafe(placed["_v"])).drop("_v")
