@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexilathe.session import shipped
 
-MODULES = ["vector_queries", "group_queries", "text_queries", "record_queries", "model_queries"]
+MODULES = ["vector_queries", "group_queries", "text_queries", "record_queries", "source_queries", "model_queries"]
 
 
 def queries() -> dict:

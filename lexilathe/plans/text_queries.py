@@ -74,13 +74,13 @@ def hard_corruption(spark, d):
 
 
 @query(_PAGES + """, l as (select document_id, page_number, unnest(string_split(text, chr(10))) as line from p),
-c as (select *, len(regexp_extract_all(line, '\\p{L}|[\\x{E000}-\\x{F8FF}]')) as letters, len(regexp_extract_all(line, '""" + X.SUSPICIOUS + """')) as odd from l)
-select document_id, count(*) as lines, cast(sum(odd) as bigint) as odd_letters from c where letters >= 10 and odd >= 0.05 * letters group by document_id""")
+c as (select *, len(regexp_extract_all(line, '\\p{L}|[\\x{E000}-\\x{F8FF}]')) as letters, len(regexp_extract_all(line, '""" + X.SUSPICIOUS + """')) as odd, """ + _MIXED.replace("text", "line") + """ as mixed from l)
+select document_id, count(*) as lines, cast(sum(odd) as bigint) as odd_letters from c where letters >= 10 and (odd >= 0.05 * letters or mixed >= 2) group by document_id""")
 def cipher_lines(spark, d):
-    """Lines of at least 10 letters of which 5 % or more are of suspicious blocks."""
+    """Lines of at least 10 letters of which 5 % or more are of suspicious blocks, or with two words that mix scripts."""
     lines = pages(spark, d).select("document_id", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.select("document_id", F.regexp_count("line", F.lit(r"\p{L}|[\x{E000}-\x{F8FF}]")).alias("letters"), F.regexp_count("line", F.lit(X.SUSPICIOUS)).alias("odd"))
-    return lines.filter((F.col("letters") >= 10) & (F.col("odd") >= 0.05 * F.col("letters"))).groupBy("document_id").agg(F.count("*").alias("lines"), F.sum("odd").alias("odd_letters"))
+    lines = lines.select("document_id", X.cipher_line(F.col("line")).alias("cipher"), F.regexp_count("line", F.lit(X.SUSPICIOUS)).alias("odd"))
+    return lines.filter("cipher").groupBy("document_id").agg(F.count("*").alias("lines"), F.sum("odd").alias("odd_letters"))
 
 
 @query("""select id, slug, case when n = 1 then slug else slug || '-' || n end as unique_slug from (select id, slug, row_number() over (partition by slug order by id) as n from
@@ -98,11 +98,11 @@ def entity_shape(spark, d):
     return s.select("label", "n", X.looks_like_name(F.col("label")).alias("name_like"), X.normal_entity(F.col("label")).alias("normal"))
 
 
-@query("""with t as (select corpus, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]{3,}'))) as token from documents where text is not null)
+@query("""with t as (select corpus, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z'']{3,}'))) as token from documents where text is not null)
 select token, count(*) as documents, count(*) filter (where corpus = 'literature') as literature, count(*) filter (where corpus = 'report') as report, count(*) filter (where corpus = 'interviews') as interviews, count(*) filter (where corpus = 'dictionary') as dictionary, count(distinct corpus) as n_corpora from t group by token""")
 def token_df(spark, d):
     """Document frequency of each token, in all and by corpus."""
-    t = table(spark, d, "documents").filter("text is not null").select("corpus", F.explode(F.array_distinct(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("token"))
+    t = table(spark, d, "documents").filter("text is not null").select("corpus", F.explode(F.array_distinct(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z']{3,}"), F.lit(0)))).alias("token"))
     return t.groupBy("token").agg(F.count("*").alias("documents"), *[F.count_if(F.col("corpus") == c).alias(c) for c in ("literature", "report", "interviews", "dictionary")], F.countDistinct("corpus").alias("n_corpora"))
 
 
