@@ -78,15 +78,33 @@ def test_p2_ranges_equal_one_scan(spark, tmp_path):
     data = text.encode()
     s, e, k = splitting.scan(data, 0, len(data))
     for step in (700, 5000):
-        parts = [np.frombuffer(splitting._table(data, 0, lo, min(lo + step, len(data)))[1], np.int64).reshape(3, -1) for lo in range(0, len(data), step)]
+        parts = []
+        for lo in range(0, len(data), step):
+            base, hi = max(0, lo - splitting.HALO), min(lo + step, len(data))
+            parts.append(np.stack(splitting.range_words(data[base : hi + splitting.HALO], base, lo, hi)))
         assert (np.concatenate(parts, axis=1) == np.stack([s, e, k])).all()
     f = tmp_path / "big.txt"
-    f.write_bytes(data)
-    pieces = splitting.split_files(spark, [str(f)], 300, 40, range_bytes=3000).orderBy("piece_no").collect()
+    f.write_bytes(data * 20)
+    data = data * 20
+    kinds = splitting.scan(data, 0, len(data))
+    pieces = splitting.split_files(spark, [str(f)], 300, 40).orderBy("piece_no").collect()
+    assert [(p.start_byte, p.new_byte, p.end_byte) for p in pieces] == [(kinds[0][x], kinds[0][y], kinds[1][z - 1]) for x, y, z in splitting.choose(kinds[2], 300, 40)]
     assert b" ".join(data[p.new_byte : p.end_byte] for p in pieces).split() == data.split()
     assert max(p.n_words for p in pieces) <= 300
 
 
+def test_p2_words_longer_than_a_range_and_long_gaps(spark):
+    long = "q" * 200_000
+    texts = [f"a. {long} b" + " c" * 30, "x" * 70_000 + "\n" * 9_000 + "y " * 40 + long, " " * 70_000 + "z " * 25]
+    df = spark.createDataFrame([("u", f"d{i}", i, t, 20) for i, t in enumerate(texts)], "unit_kind string, document_id string, chunk_index int, text string, most int")
+    got = {}
+    for r in splitting.split_units(df, splitting.KEY, "text", "most", 5).orderBy("piece_no").collect():
+        words = r.text.split()
+        assert len(words) == r.n_words <= 20
+        got[r.document_id] = got.get(r.document_id, []) + words[5 if r.document_id in got else 0 :]
+    assert [got[f"d{i}"] for i in range(3)] == [t.split() for t in texts]
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------------
 
 
