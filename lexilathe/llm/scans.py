@@ -343,6 +343,35 @@ def paragraphs(pages: DataFrame, noise: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, DDL_KEY + ", paragraph_no int, text string, open_end boolean, glued boolean")
 
 
+def _cased(seen: str, meant: str) -> str:
+    """meant in the case of what was seen: capitals, a capital at the start, or as it is."""
+    letters = [c for c in seen if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return meant.upper()
+    return meant[:1].upper() + meant[1:] if seen[:1].isupper() else meant
+
+
+def continuous(parts: DataFrame) -> DataFrame:
+    """(document_id, page_number, paragraph_no, last_page, text): the rows of paragraphs() with those put together that
+    go on over page ends, under the page and number where they begin.
+
+    Where one begins is told by short rows, one a page; only texts that go on are brought together, so a group is one
+    paragraph, however long the document."""
+    page = parts.groupBy("document_id", "page_number").agg(F.max("paragraph_no").alias("last"), F.max_by("open_end", "paragraph_no").alias("open"))
+    order = Window.partitionBy("document_id").orderBy("page_number")
+    # A page whose first paragraph goes on from the page before; the run of such pages with one paragraph is passed through.
+    page = page.withColumn("from_before", F.coalesce(F.lag("open").over(order), F.lit(False))).withColumn("prior", F.lag(F.struct("page_number", "last")).over(order))
+    begins = F.when(~F.col("from_before"), F.struct("page_number", F.lit(0).alias("last"))).when(F.col("prior.last") > 0, F.col("prior"))
+    page = page.withColumn("head", F.last(begins, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    keyed = parts.join(page.select("document_id", "page_number", "last", "from_before", "head"), ["document_id", "page_number"])
+    first = (F.col("paragraph_no") == 0) & F.col("from_before")
+    keyed = keyed.select("document_id", F.when(first, F.col("head.page_number")).otherwise(F.col("page_number")).alias("page"), F.when(first, F.col("head.last")).otherwise(F.col("paragraph_no")).alias("no"), "page_number", "text", "glued", ((F.col("paragraph_no") == F.col("last")) & F.col("open_end") | first).alias("more"))
+    whole = keyed.filter("not more").select("document_id", F.col("page").alias("page_number"), F.col("no").alias("paragraph_no"), F.col("page_number").alias("last_page"), "text")
+    piece = F.transform(F.array_sort(F.collect_list(F.struct("page_number", F.concat("text", F.when(F.col("glued"), "").otherwise(" ")).alias("t")))), lambda x: x["t"])
+    many = keyed.filter("more").groupBy("document_id", F.col("page").alias("page_number"), F.col("no").alias("paragraph_no")).agg(F.max("page_number").alias("last_page"), F.rtrim(F.array_join(piece, "")).alias("text"))
+    return whole.unionByName(many)
+
+
 def _repair(lines: list[str], skip: set[int], fixes: list[dict]) -> list[tuple[str, bool, bool]]:
     split_at = {f["line_no"]: f for f in fixes if f["noise_kind"] == "hyphen"}
     words: dict[int, list[tuple[str, str]]] = {}
@@ -374,7 +403,7 @@ def _repair(lines: list[str], skip: set[int], fixes: list[dict]) -> list[tuple[s
             parts[-1][-1] = body if own else body[:-1]
         # After joining, so that words whose halves stand on two lines are found whole.
         for word, meant in wrong:
-            parts[-1][-1] = re.sub(r"(?<!\w)" + re.escape(word) + r"(?!\w)", meant, parts[-1][-1], flags=re.IGNORECASE)
+            parts[-1][-1] = re.sub(r"(?<!\w)" + re.escape(word) + r"(?!\w)", lambda m: _cased(m.group(), meant), parts[-1][-1], flags=re.IGNORECASE)  # noqa: B023
     done = [" ".join(p) for p in parts if p]
     last = len(done) - 1
     return [(p, k == last and (glue or p.rstrip()[-1:] not in ".!?…”»\")"), k == last and glue) for k, p in enumerate(done)]
@@ -390,8 +419,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as continuous paragraphs."""
-    return paragraphs(table(spark, sf_dir, "page_record"), settle(_noise(spark, sf_dir)))
+    """Every document as continuous paragraphs, by the page and number where they begin."""
+    return continuous(settle(paragraphs(table(spark, sf_dir, "page_record"), settle(_noise(spark, sf_dir)))))
 
 
 QUERIES = {"p6_found": p6_found, "p6_paragraphs": p6_paragraphs}

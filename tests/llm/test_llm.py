@@ -368,6 +368,14 @@ def test_p6_hyphens_kept_or_dropped_and_words_over_a_page_end(spark):
 # --- 8, 9 ------------------------------------------------------------------------------------------------------------
 
 
+def test_p6_paragraphs_over_page_ends(spark):
+    rows = [("d", 1, 0, "One.", False, False), ("d", 1, 1, "Two goes", True, False), ("d", 2, 0, "on and com", True, True), ("d", 4, 0, "munity ends.", False, False), ("d", 4, 1, "Three", True, False), ("e", 1, 0, "Alone", True, False), ("e", 2, 0, "end.", False, False), ("e", 3, 0, "Next.", False, False)]
+    df = spark.createDataFrame(rows, "document_id string, page_number int, paragraph_no int, text string, open_end boolean, glued boolean")
+    got = sorted(tuple(r) for r in scans.continuous(df).collect())
+    assert got == [("d", 1, 0, 1, "One."), ("d", 1, 1, 4, "Two goes on and community ends."), ("d", 4, 1, 4, "Three"), ("e", 1, 0, 2, "Alone end."), ("e", 3, 0, 3, "Next.")]
+    assert [scans._cased(a, b) for a, b in (("Tbe", "the"), ("TBE", "the"), ("tbe", "the"), ("0f", "of"))] == ["The", "THE", "the", "of"]
+
+
 @pytest.mark.skipif(not HAVE_TOKENIZER, reason="no tokenizer files")
 def test_p8_equals_the_library_and_round_trips(spark):
     import base64
