@@ -123,7 +123,8 @@ def _as_stripped(token: str) -> str | None:
         return None
     out = re.sub("(?<=[^\\W\\d_])â(?=[^\\W\\d_])", "’", token)
     out = re.sub("(?<=\\S)â", "”", re.sub("â(?=\\S)", "“", out)) if out != "â" else "–"
-    return out.replace("Ã", LOST).replace("Â", "")
+    # What begins with Â and would lose its second byte is a control character itself, so no letter follows.
+    return re.sub("Â(?![^\\W\\d_])", "", out.replace("Ã", LOST))
 
 
 def readings(token: str) -> list[tuple[str, str, bool]]:
@@ -212,10 +213,12 @@ def restore_lines(lines: DataFrame, counts: DataFrame) -> DataFrame:
     nodes = settle(suspect.select("line", "line_text").mapInArrow(lattice, "line long, at int, token string, channel string, reading string, strong boolean, keys array<string>"))
     wanted = nodes.select(F.explode("keys").alias("key")).distinct()
     plain = wanted.filter(~F.col("key").contains(LOST)).join(counts, "key").select("key", "n", F.col("key").alias("word"))
-    # A word with lost bytes is looked up by its pattern: corpus words of regular case with each letter beyond
-    # ASCII left out.
-    masked = counts.filter(F.col("key").rlike("[^\\x00-\\x7f]") & ~F.col("key").contains(LOST) & (F.col("key") == F.lower("key"))).withColumn("pattern", F.regexp_replace("key", "[^\\x00-\\x7f]", LOST))
-    lossy = wanted.filter(F.col("key").contains(LOST)).join(masked.select(F.col("key").alias("word"), "n", F.col("pattern").alias("key")), "key").groupBy("key").agg(F.max("n").alias("n"), F.max_by("word", F.struct("n", "word")).alias("word"))
+    # A word with lost bytes is looked up by what is left of it: corpus words with one letter, or two beyond ASCII (or all
+    # of those), left out have the same rest, and must fit with a letter or two for each run of lost bytes.
+    run = F.regexp_replace(F.regexp_replace(F.regexp_replace("key", f"{LOST}{{3,}}", ".{1,3}"), f"{LOST}{{2}}", ".{1,2}"), LOST, ".")
+    asked = wanted.filter(F.col("key").contains(LOST)).select("key", F.regexp_replace("key", LOST, "").alias("rest"), F.concat(F.lit("^"), run, F.lit("$")).alias("fits"))
+    vocabulary = counts.filter((F.col("key") == F.lower("key")) & ~F.col("key").contains(LOST) & F.col("key").rlike("^.*\\p{L}.*$")).select("key", "n").mapInArrow(_rests, "word string, n long, rest string")
+    lossy = asked.join(vocabulary, "rest").filter("rlike(word, fits)").groupBy("key").agg(F.max("n").alias("n"), F.max_by("word", F.struct("n", "word")).alias("word"))
     known = plain.unionByName(lossy)
     scored = (
         nodes.withColumn("key", F.explode_outer("keys"))
@@ -310,18 +313,49 @@ def _decode(nodes: list, all_words: float) -> tuple[dict[int, str], list[str]]:
     return changes, sorted(channels)
 
 
+def rests(word: str) -> set[str]:
+    """What is left of a word that lost a letter, two letters beyond ASCII, or all of those."""
+    beyond = [i for i, c in enumerate(word) if not c.isascii()]
+    out = {word[:i] + word[i + 1 :] for i in range(len(word))}
+    out |= {word[:i] + word[i + 1 : j] + word[j + 1 :] for k, i in enumerate(beyond) for j in beyond[k + 1 :]}
+    out.add("".join(c for c in word if c.isascii()))
+    return out - {word}
+
+
+def _rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(w, n, r) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in rests(w)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.string(), pa.int64(), pa.string()])], ["word", "n", "rest"])
+
+
 def _fill(reading: str, key: str, word: str) -> str:
     """reading with the lost letters of key taken from word, in the case of the letters around."""
     at = reading.lower().find(key.lower())
     if at < 0:
         return reading
     old = reading[at : at + len(key)]
-    new = "".join((w.upper() if old.isupper() and len(old) > 2 else w) if o == LOST else o for o, w in zip(old, word))
+    parts = re.split(f"({LOST}+)", old)
+    m = re.fullmatch("".join(f"(.{{1,{len(p)}}})" if LOST in p else re.escape(p.lower()) for p in parts), word)
+    if not m:
+        return reading
+    found = iter(m.groups())
+    upper = old.isupper() and len(old) > 2
+    new = "".join((next(found).upper() if upper else next(found)) if LOST in p else p for p in parts)
     return reading[:at] + new + reading[at + len(key) :]
 
 
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of all tables that hold texts of the corpus, as (text); originals, not translations."""
+    one = lambda name, column="text": table(spark, sf_dir, name).select(F.col(column).alias("text"))
+    names = ("chunk", "documents", "transcript_unit", "interview_database")
+    every = one("page_record")
+    for name in names:
+        every = every.union(one(name))
+    return every.filter("text is not null")
+
+
 def _restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return restore_lines(table(spark, sf_dir, "integrity_regions"), settle(word_counts(table(spark, sf_dir, "page_record"))))
+    return restore_lines(table(spark, sf_dir, "integrity_regions"), settle(word_counts(corpus(spark, sf_dir))))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,13 @@ def test_p1_marks_and_restores(spark):
 # --- 2 ---------------------------------------------------------------------------------------------------------------
 
 
+def test_p1_lost_bytes_anywhere_in_a_word(spark):
+    lost = {"le p\ufffdre d\ufffdcrit": "le père décrit", "caf\ufffd\ufffd": "café", "t\ufffd\ufffdmoin": "témoin", "gro\ufffdp": "group", "CH\ufffdTEAU": "CHÂTEAU", "cora\ufffd\ufffdo": "coração", "zzz\ufffdq": "zzz\ufffdq", "na\ufffdve": "naïve"}
+    counts = spark.createDataFrame(VOCABULARY, "key string, n long")
+    got = {r.line_text: r.restored for r in mojibake.restore_lines(lines_of(spark, list(lost)), counts).collect()}
+    assert got == lost
+
+
 def test_p2_pieces_give_the_text_back(spark):
     rng = random.Random(1)
     units = []
