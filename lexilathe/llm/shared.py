@@ -2,9 +2,10 @@
 
 Every window of `span` code points has a key: the least hash of the half-length windows inside it. Records that share
 a window share its key, and neighbouring windows mostly have the same one, so a record is a short list of runs of
-windows with one key. A count-min sketch counts keys: tasks fill sketches of their own, these are merged by cells and
-never undercount. A second pass over the texts keeps only runs whose key is estimated to occur twice or more, with the
-exact hashes of all their windows; these few rows are grouped exactly. Nothing is lost, as a sketch only overestimates.
+windows with one key. Keys are sent to shards, each of about as many at any size of the corpus, and a shard's count-min
+sketch counts them and never undercounts; those that it estimates to stand in two records or more go back to their
+records. A second pass over the texts makes the exact hashes of the windows of these keys alone, and these few rows are
+grouped exactly. Nothing is lost, as a sketch only overestimates, and the share that is kept in vain doesn't grow.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilathe.session import settle, table
+from lexilathe.session import table
+from lexilathe.session import written as settle
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -27,8 +28,8 @@ _ODD = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478
 
 #: Texts are worked on in blocks of so many code points; longer ones in pieces that overlap by a window.
 BLOCK = 1 << 18
-#: Rows of the sketch, and the most cells in a row: together at most 128 MB of one-byte cells.
-DEPTH, MOST_CELLS = 4, 1 << 25
+#: Rows of a sketch, log2 of the one-byte cells in a row, and the keys of a shard, about.
+DEPTH, BITS, SHARD = 4, 21, 1 << 19
 
 
 @lru_cache(2)
@@ -113,80 +114,87 @@ def _cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
     return ((keys * U(_ODD[row])) >> U(64 - bits)).astype(np.int64)
 
 
-def sketch_bits(size_in_bytes: int, span: int) -> int:
-    """log2 of the cells in a row for input of this size: about four cells a run if text is stored in a third of its
-    size, at least 2^16 and at most MOST_CELLS."""
-    runs = 3 * size_in_bytes / (span / 4)
-    return int(min(np.log2(MOST_CELLS), max(16, np.ceil(np.log2(max(runs * 4, 1))))))
+def shards_for(size_in_bytes: int, span: int) -> int:
+    """Shards for input of this size, if text is stored in a third of its size: a key for a quarter of a span each."""
+    return max(1, -(-int(3 * size_in_bytes / (span / 4)) // SHARD))
 
 
-def sketch(texts: DataFrame, span: int, bits: int, parts: int = 64) -> np.ndarray:
-    """Counts of keys, 2 standing for two or more: an array (DEPTH, 2^bits). Each task counts its rows; the sketches
-    are cut into `parts` ranges of cells, summed by range on the executors and read by the driver (at most 128 MB)."""
-    cells = 1 << bits
-    parts = min(parts, cells)
+def estimated(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Counts of keys by a count-min sketch of their own, 2 standing for two or more: the least of a key's cells."""
+    least = np.full(len(keys), 2, np.uint8)
+    for row in range(DEPTH):
+        at = _cells(keys, row, bits)
+        least = np.minimum(least, np.minimum(np.bincount(at, minlength=1 << bits), 2).astype(np.uint8)[at])
+    return least
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((DEPTH, cells), np.uint8)
-        for batch in batches:
-            for keys, _, o, _, begin in _runs(batch.column(0).to_pylist(), span):
-                keys, o = keys[begin], o[begin]
-                order = np.lexsort((keys, o))  # a key counts once per text and block
-                keys, o = keys[order], o[order]
-                keys = keys[np.concatenate([[True], (keys[1:] != keys[:-1]) | (o[1:] != o[:-1])])]
-                for row in range(DEPTH):
-                    at, n = np.unique(_cells(keys, row, bits), return_counts=True)
-                    counts[row, at] = np.minimum(counts[row, at] + np.minimum(n, 2), 2)
-        if counts.any():
-            cut = np.split(counts, parts, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([_pack(c) for c in cut], pa.binary())], ["part", "cells"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((DEPTH, cells // parts), np.uint8)
-        for packed in pdf["cells"]:
-            total = np.minimum(total + _unpack(packed, total.shape), 2)
-        return pd.DataFrame({"part": pdf["part"][:1], "cells": [_pack(total)]})
-
-    merged = texts.mapInArrow(fill, "part int, cells binary").groupBy("part").applyInPandas(merge, "part int, cells binary").collect()
-    out = np.zeros((DEPTH, cells), np.uint8)
-    for r in merged:
-        width = cells // parts
-        out[:, r.part * width : (r.part + 1) * width] = _unpack(bytes(r.cells), (DEPTH, width))
-    return out
-
-
-def _pack(counts: np.ndarray) -> bytes:
-    import zlib
 
-    return zlib.compress(np.ascontiguousarray(counts).tobytes(), 1)
+#: A key to be counted; one that its own batch holds in two records, so that it needn't be; and that, once, for the count.
+ASKED, SURE, COUNTED = 0, 1, 2
 
 
-def _unpack(packed: bytes, shape: tuple[int, int]) -> np.ndarray:
-    import zlib
+def repeated_keys(docs: DataFrame, span: int, bits: int, shards: int) -> DataFrame:
+    """(id, keys) of docs (id, text): the keys of each record that are estimated to stand in another one too.
 
-    return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(shape)
+    A key that a batch of records holds twice is known to be repeated: its records are spread over the shards and the
+    key is sent to its own shard once for the batch, so a key of any number of records makes no shard large."""
 
-
-def shared_runs(docs: DataFrame, id_col: str, text_col: str, span: int = 250, bits: int | None = None) -> DataFrame:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            got = [(keys[begin], ids[o[begin]]) for keys, _, o, _, begin in _runs(batch.column(1).to_pylist(), span)]
+            if not got:
+                continue
+            keys, of = (np.concatenate(x) for x in zip(*got))
+            order = np.lexsort((of, keys))
+            keys, of = keys[order], of[order]
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])
+            keys, of = keys[new], of[new]
+            names, count = np.unique(keys, return_counts=True)
+            sure = np.repeat(count, count) > 1
+            twice = names[count > 1]
+            what = np.concatenate([np.where(sure, SURE, ASKED), np.full(len(twice), COUNTED)]).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([of, np.zeros(len(twice), np.int64)])), pa.array(np.concatenate([keys, twice]).view(np.int64)), pa.array(what)], ["id", "key", "what"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            what = batch.column(2).to_numpy()
+            sure = np.flatnonzero(what == SURE)
+            if len(sure):
+                yield batch.select([0, 1]).take(pa.array(sure))
+            held.append([batch.column(c).to_numpy()[what != SURE] for c in range(3)])
+        if held:
+            ids, keys, what = (np.concatenate(x) for x in zip(*held))
+            # A key that is sure somewhere counts as two there.
+            counted = keys.view(np.uint64)
+            least = estimated(np.concatenate([counted, counted[what == COUNTED]]), bits)[: len(keys)]
+            keep = (least > 1) & (what == ASKED)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(keys[keep])], ["id", "key"])
+
+    marks = docs.select("id", "text").mapInArrow(find, "id long, key long, what tinyint")
+    place = F.when(F.col("what") == SURE, F.xxhash64("key", "id")).otherwise(F.xxhash64("key"))
+    kept = marks.repartitionById(shards, F.pmod(place, F.lit(shards)).cast("int")).mapInArrow(test, "id long, key long")
+    return kept.groupBy("id").agg(F.collect_list("key").alias("keys"))
+
+
+def shared_runs(docs: DataFrame, id_col: str, text_col: str, span: int = 250, bits: int = BITS, shards: int | None = None) -> DataFrame:
     """Runs of windows whose key is estimated to occur in two texts: key long, id, start int (position of the first
     window), prev long (hash of the window before, or of the id at the start of a text), hashes array<long>.
 
     Null texts, empty ones and those shorter than span have no windows. Ids must be distinct and not null; rows with a
     null id are left out. Texts of any length are read whole."""
     docs = docs.filter(F.col(id_col).isNotNull() & (F.length(text_col) >= span)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    if bits is None:
-        bits = sketch_bits(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), span)
-    counts = docs.sparkSession.sparkContext.broadcast(sketch(docs.select("text"), span, bits))
+    if shards is None:
+        shards = shards_for(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), span)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, wanted = batch.column(0).to_numpy(), np.unique(batch.column(2).flatten().to_numpy()).view(np.uint64)
+            wanted.sort()
             for keys, hashes, o, p, begin in _runs(batch.column(1).to_pylist(), span):
                 first = np.flatnonzero(begin)
                 run_keys = keys[first]
-                twice = np.ones(len(first), bool)
-                for row in range(DEPTH):
-                    twice &= counts.value[row][_cells(run_keys, row, bits)] >= 2
+                twice = np.isin(run_keys, wanted)
                 if not twice.any():
                     continue
                 ends = np.concatenate([first[1:], [len(keys)]])
@@ -200,7 +208,8 @@ def shared_runs(docs: DataFrame, id_col: str, text_col: str, span: int = 250, bi
                     ["key", "id", "start", "prev", "hashes"],
                 )
 
-    return docs.mapInArrow(keep, "key long, id long, start int, prev long, hashes array<long>")
+    wanted = settle(repeated_keys(docs, span, bits, shards))
+    return docs.join(wanted, "id").select("id", "text", "keys").mapInArrow(keep, "key long, id long, start int, prev long, hashes array<long>")
 
 
 def shared_pairs(runs: DataFrame) -> DataFrame:

@@ -449,8 +449,16 @@ def shared_brute(texts, span):
     return pairs, cover
 
 
-@pytest.mark.parametrize("bits", [6, 16])
-def test_p10_equals_brute_force(spark, bits, monkeypatch):
+def test_p10_share_kept_in_vain_stays_small():
+    keys = np.random.default_rng(1).integers(0, 2**63, 1 << 14).astype(np.uint64)
+    keys[:50] = keys[50:100]
+    least = shared.estimated(keys, 16)  # the load of a full shard: four cells a key
+    assert (least[:100] == 2).all() and (least[100:] == 2).mean() < 0.01
+    assert shared.shards_for(0, 250) == 1 and shared.shards_for(30 * 10**9, 250) == 2747
+
+
+@pytest.mark.parametrize("bits, shards", [(6, 1), (16, 1), (16, 7), (4, 40)])
+def test_p10_equals_brute_force(spark, bits, shards):
     rng = random.Random(7)
     word = lambda n: "".join(rng.choice("abcdéf ") for _ in range(n))
     stretch = [word(n) for n in (20, 21, 39, 60, 100)]
@@ -463,7 +471,7 @@ def test_p10_equals_brute_force(spark, bits, monkeypatch):
     texts += [(70, None), (71, ""), (72, "z" * 90), (73, "z" * 50), (74, texts[3][1]), (75, texts[3][1])]
     df = spark.createDataFrame(texts, "id long, text string")
     pairs, cover = shared_brute(texts, 20)
-    runs = shared.shared_runs(df, "id", "text", span=20, bits=bits).cache()
+    runs = shared.shared_runs(df.repartition(3), "id", "text", span=20, bits=bits, shards=shards).cache()
     assert {tuple(r) for r in shared.shared_pairs(runs).collect()} == pairs
     assert {r.id: r.shared_chars for r in shared.shared_lengths(runs, 20).collect()} == cover
 
