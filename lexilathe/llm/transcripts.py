@@ -57,6 +57,7 @@ _HEADER = re.compile(r"^\s*(?:interview\b\s*[-–—:]?.*\d{4}|transcript\b.*|au
 _NOTE = re.compile(r"^\s*[\[(]\s*(?:transcriber|note|anm|nota|n\.d|ndr|transkri)[^\])]*[\])]\s*$", re.IGNORECASE)
 _MARKS = re.compile(r"\[[^\]]*\]|\(\([^)]*\)\)|\{[^}]*\}|<[^>]*>|(?<!\*)\*[^*\n]{1,40}\*(?!\*)")
 _ROUND = re.compile(r"\(([^()]*)\)")
+_DASHED = re.compile(r"(?:\.\.\.|…|[–—-])\s*(" + "|".join(map(re.escape, sorted(FILLERS, key=len, reverse=True))) + "|" + "|".join(PHRASES) + r")\s*(?:\.\.\.|…|[–—-])", re.IGNORECASE)
 _PHRASE = re.compile(r"\b(?:" + "|".join(PHRASES) + r")\b", re.IGNORECASE)
 
 
@@ -114,7 +115,7 @@ def clean(text: str) -> str:
     text = _MARKS.sub(" ", text)
     text = _ROUND.sub(lambda m: " " if all(w in SOUNDS or w.isdigit() or w == "s" for w in re.findall(r"[^\W_]+", m[1].lower())) else m[0], text)
     text = text.replace("**", "")
-    text = re.sub(r"(?:\.\.\.|…|[–—-])\s*(" + "|".join(map(re.escape, sorted(FILLERS, key=len, reverse=True))) + "|" + "|".join(PHRASES) + r")\s*(?:\.\.\.|…|[–—-])", " ", text, flags=re.IGNORECASE)
+    text = _DASHED.sub(" ", text)
     words = []
     for w in _PHRASE.sub(" ", text).split() if _only_fillers(text) else text.split():
         bare = w.strip(".,;:!?…–—-").lower()
@@ -125,7 +126,15 @@ def clean(text: str) -> str:
     return re.sub(r"^\s*[,.;:]\s*", "", out)
 
 
+_PHRASE_WORDS = sorted({w for p in PHRASES for w in p.split()})
+
+
 def _only_fillers(text: str) -> bool:
+    # A word that no phrase can take part of is there after the phrases are gone, too.
+    for w in text.split():
+        low = w.lower()
+        if low.strip(".,;:!?…–—-'’\"") not in FILLERS and re.search(r"\w", w) and not any(p in low for p in _PHRASE_WORDS):
+            return False
     rest = _PHRASE.sub(" ", text)
     return all(w.strip(".,;:!?…–—-'’\"").lower() in FILLERS for w in rest.split() if re.search(r"\w", w))
 
