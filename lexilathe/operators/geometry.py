@@ -7,8 +7,23 @@ from pyspark.sql import functions as F
 
 from lexilathe.functions import vectors as V
 
-#: Groups are compared with each other in the driver's plan only if there are at most so many.
+#: A side of at most so many rows is sent to all tasks; a larger one is worked on in blocks of so many.
 MOST_GROUPS = 10_000
+#: Parts that rows are cut into beside each block.
+PARTS = 64
+
+
+def beside(rows: DataFrame, queries: DataFrame, condition: Column, ident: str) -> DataFrame:
+    """Every row beside every one of a stated query set that meets the condition. Up to MOST_GROUPS queries are
+    broadcast. More are cut into blocks of about so many, and each block meets each of PARTS parts of the rows in a join
+    on both numbers, so no task holds more than a block and a part, and none of it is a nested loop over whole sides."""
+    n = queries.count()
+    if n <= MOST_GROUPS:
+        return rows.join(F.broadcast(queries), condition)
+    blocks = -(-n // MOST_GROUPS)
+    left = rows.withColumn("_part", F.pmod(F.xxhash64(ident), F.lit(PARTS))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = queries.withColumn("_block", F.pmod(F.xxhash64(*queries.columns[:1]), F.lit(blocks)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    return left.join(right, ["_part", "_block"]).filter(condition).drop("_part", "_block")
 
 
 def centroids(points: DataFrame, dim: int, by: str = "grp") -> DataFrame:
@@ -32,22 +47,16 @@ def dispersion(points: DataFrame, dim: int, by: str = "grp") -> DataFrame:
 
 
 def group_pairs(centers: DataFrame, ordered: bool, by: str = "grp") -> DataFrame:
-    """All pairs of groups with their centroids: the groups (a bounded set, checked) are the stated query set."""
-    count = centers.count()
-    if count > MOST_GROUPS:
-        raise ValueError(f"{count} groups; at most {MOST_GROUPS} can be compared pairwise")
+    """All pairs of groups with their centroids; the groups are the stated query set."""
     rest = [c for c in centers.columns if c != by]
     a = centers.select(F.col(by).alias("a"), *[F.col(c).alias(f"a_{c}") for c in rest])
     b = centers.select(F.col(by).alias("b"), *[F.col(c).alias(f"b_{c}") for c in rest])
-    return a.join(F.broadcast(b), (F.col("a") != F.col("b")) if ordered else (F.col("a") < F.col("b")))
+    return beside(a, b, (F.col("a") != F.col("b")) if ordered else (F.col("a") < F.col("b")), "a")
 
 
 def query_pairs(points: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every point beside every query of a stated query set (q_id, q_vec), itself left out. The queries are broadcast
-    if there are few; else the points are worked on in blocks of queries."""
-    n = queries.count()
-    hinted = F.broadcast(queries) if n <= MOST_GROUPS else queries
-    return points.join(hinted, F.col("id") != F.col("q_id"))
+    """Every point beside every query of a stated query set (q_id, q_vec), itself left out."""
+    return beside(points, queries, F.col("id") != F.col("q_id"), "id")
 
 
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:

@@ -107,8 +107,7 @@ _PAIRS = _V + ", q as (select * from v where id % 100 = 0), p as (select q.id as
 def _ranked(spark, d) -> DataFrame:
     p = points(spark, d)
     q = p.filter("id % 100 = 0").select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
-    pairs = p.join(F.broadcast(q)) if q.count() <= G.MOST_GROUPS else p.join(q)
-    pairs = pairs.select("q_id", "id", "grp", F.round(V.euclidean("q_vec", "vec"), 9).alias("dist"), F.round(V.cosine("q_vec", "vec"), 9).alias("cos"))
+    pairs = G.beside(p, q, F.lit(True), "id").select("q_id", "id", "grp", F.round(V.euclidean("q_vec", "vec"), 9).alias("dist"), F.round(V.cosine("q_vec", "vec"), 9).alias("cos"))
     return R.full_ranking(pairs, ["q_id"], "dist", [F.col("dist"), F.col("id")])
 
 
@@ -403,7 +402,7 @@ def review_list(spark, d):
     """Each entity's greatest similarity to a pool, and whether it must be looked at: similar to the pool, not in it."""
     s = space(spark, d).filter("grp = 'emergent_entities'")
     pool, q = s.filter("id % 3 = 0"), s.filter("id % 3 <> 0 and label is not null")
-    pairs = q.select("id", "label", "vec").join(F.broadcast(pool.select(F.col("vec").alias("p_vec")))) if pool.count() <= G.MOST_GROUPS else q.select("id", "label", "vec").join(pool.select(F.col("vec").alias("p_vec")))
+    pairs = G.beside(q.select("id", "label", "vec"), pool.select(F.col("id").alias("p_id"), F.col("vec").alias("p_vec")), F.lit(True), "id")
     best = pairs.groupBy("id", "label").agg(F.max(F.round(V.cosine("vec", "p_vec"), 9)).alias("cos"))
     known = pool.filter("label is not null").select("label").distinct().withColumn("known", F.lit(True))
     return best.join(known, "label", "left").select("id", F.round("cos", 6).alias("best"), ((F.col("cos") >= 0.5) & F.col("known").isNull()).alias("review"))

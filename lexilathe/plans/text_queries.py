@@ -313,15 +313,6 @@ def edge_degree(spark, d):
     return E.degrees(e, "a", "b")
 
 
-@query("""with e as (select l_partkey as node, sum(coalesce(l_quantity, 1)) as w, count(distinct l_suppkey) as seeds, count(distinct l_returnflag) as relations, count(*) as n from lineitem group by l_partkey)
-select node, seeds as n_seeds, relations as n_relations, round(w / n, 6) as specificity, round(seeds * w / n, 6) as score from e where seeds >= 3 order by round(seeds * w / n, 9) desc, node limit 100""")
-def edge_specificity(spark, d):
-    """Weight per edge, and the hundred nodes of the best score among those with three seeds or more."""
-    r = E.related(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", "l_returnflag", "l_quantity").filter("n_seeds >= 3")
-    r = r.withColumn("specificity", F.col("total_weight") / F.col("n_edges")).withColumn("score", F.col("n_seeds") * F.col("total_weight") / F.col("n_edges"))
-    return r.orderBy(F.desc(F.round("score", 9)), "node").limit(100).select("node", "n_seeds", "n_relations", F.round("specificity", 6).alias("specificity"), F.round("score", 6).alias("score"))
-
-
 @query("""with recursive p as (select distinct p_partkey as node, p_partkey // 3 as parent from part where p_partkey > 0), a(node, ancestor) as (select node, parent from p union select a.node, p.parent from a join p on p.node = a.ancestor) select node, count(*) as n_ancestors, min(ancestor) as root from a group by node""")
 def ancestor_closure(spark, d):
     """All ancestors of each node of a tree over the parts."""

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexilathe.functions import text as X
+from lexilathe.operators import geometry as G
 from lexilathe.operators import groups as R
 from lexilathe.operators import sampling as S
 from lexilathe.operators import spans as P
@@ -45,6 +46,15 @@ def test_rankings_leave_the_query_out_and_faults_show(spark):
     assert tuple(R.ranking_faults(ranked.limit(0), ["q"], "d").first()) == (0, 0, 0)
 
 
+def test_beside_in_blocks_equals_a_broadcast(spark, monkeypatch):
+    a, b = spark.range(50).select(F.col("id")), spark.range(40).select(F.col("id").alias("q_id"))
+    want = {(i, q) for i in range(50) for q in range(40) if i != q}
+    for most in (10_000, 7):
+        monkeypatch.setattr(G, "MOST_GROUPS", most)
+        got = [tuple(r) for r in G.query_pairs(a, b).select("id", "q_id").collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_first_by_hash_equals_a_full_sort(spark):
     rows = [("a" if i % 3 else "b", i, 7 if i % 3 else 200) for i in range(300)]
     df = spark.createDataFrame(rows, "g string, id long, take long")
