@@ -406,3 +406,45 @@ def review_list(spark, d):
     best = pairs.groupBy("id", "label").agg(F.max(F.round(V.cosine("vec", "p_vec"), 9)).alias("cos"))
     known = pool.filter("label is not null").select("label").distinct().withColumn("known", F.lit(True))
     return best.join(known, "label", "left").select("id", F.round("cos", 6).alias("best"), ((F.col("cos") >= 0.5) & F.col("known").isNull()).alias("review"))
+
+
+# --- masked vectors, cluster profiles, named sets -----------------------------------------------------------------------
+
+
+@query(_V + """, k as (select id, grp, list_transform(e, lambda x, i: case when id % 2 = 0 and i <= 16 then 0.0 else x end) as m, e from v), q as (select * from k where id % 100 = 0), p as (select q.id as q_id, q.grp = k.grp as own, row_number() over (partition by q.id order by round(list_cosine_similarity(q.e, k.e), 9) desc, k.id) as a, row_number() over (partition by q.id order by round(list_cosine_similarity(q.e, k.m), 9) desc, k.id) as b from q join k on k.id <> q.id)
+select q_id, round(count_if(own and a <= 10) / 10.0::double, 6) as precision_unmasked, round(count_if(own and b <= 10) / 10.0::double, 6) as precision_masked, round(avg(a) filter (where own), 6) as rank_unmasked, round(avg(b) filter (where own), 6) as rank_masked from p group by q_id""")
+def masked_retrieval(spark, d):
+    """Precision at ten and mean rank of the own group's points, as they are and with masked vectors put in where there
+    are some."""
+    p = points(spark, d)
+    masked = p.filter("id % 2 = 0").select("id", F.transform("vec", lambda x, i: F.when(i < 16, 0.0).otherwise(x)).alias("masked"))
+    pool = p.join(masked, "id", "left").withColumn("masked", F.coalesce("masked", "vec"))
+    q = p.filter("id % 100 = 0").select(F.col("id").alias("q_id"), F.col("grp").alias("q_grp"), F.col("vec").alias("q_vec"))
+    x = G.query_pairs(pool, q).select("q_id", "id", (F.col("grp") == F.col("q_grp")).alias("own"), F.round(V.cosine("q_vec", "vec"), 9).alias("s"), F.round(V.cosine("q_vec", "masked"), 9).alias("t"))
+    rank = lambda c: F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc(c), "id"))
+    x = x.withColumn("a", rank("s")).withColumn("b", rank("t"))
+    of = lambda c: F.round(F.count_if(F.col("own") & (F.col(c) <= 10)) / 10, 6)
+    mean = lambda c: F.round(F.avg(F.when(F.col("own"), F.col(c))), 6)
+    return x.groupBy("q_id").agg(of("a").alias("precision_unmasked"), of("b").alias("precision_masked"), mean("a").alias("rank_unmasked"), mean("b").alias("rank_masked"))
+
+
+@query(_V + _CENTER.format(by="grp", of="v") + ", g as (select list(x order by i) as g from (select i, avg(e[i]) as x from v, range(1, 65) t(i) group by i)), s as (select v.grp, count(*) as size, round(avg(list_distance(e, c)), 6) as dispersion, array_to_string(list_sort(list(id))[1:3], ';') as members from v join c using (grp) group by v.grp) select s.grp, size, dispersion, round(list_distance(c, g), 6) as to_grand_centroid, members from s join c using (grp), g")
+def cluster_profiles(spark, d):
+    """Each group's size, dispersion, distance to the grand centroid and first members."""
+    p = points(spark, d)
+    c = G.centroids(p, DIM)
+    grand = p.agg(V.mean_vector(F.col("vec"), DIM).alias("g"))
+    s = G.with_distance(p, c).groupBy("grp").agg(F.count("*").alias("size"), F.round(F.avg("distance"), 6).alias("dispersion"))
+    first = G.top_k(p.select("grp", "id"), ["grp"], [F.col("id")], 3).groupBy("grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ";").alias("members"))
+    return s.join(c.select("grp", "centroid"), "grp").join(F.broadcast(grand)).join(first, "grp").select("grp", "size", "dispersion", F.round(V.euclidean("centroid", "g"), 6).alias("to_grand_centroid"), "members")
+
+
+@query(_P + ", w as (select * from v where grp in " + _IN + ")" + _CENTER.format(by="grp", of="w") + ", x as (select v.grp as named, v.id, c.grp as cluster, round(list_cosine_similarity(v.e, c.c), 9) as cos from v, c where v.grp in ('miviludes_criteria', 'emergent_entities')), r as (select *, row_number() over (partition by named, id order by cos desc, cluster) as k from x) select named, id, cluster, round(cos, 6) as cosine, cos >= 0.3 as member, row_number() over (partition by named order by cos desc, id) as place from r where k = 1")
+def nearest_clusters(spark, d):
+    """The cluster nearest to each member of two named sets, whether it is near enough, and its place in its set."""
+    s = space(spark, d)
+    c = G.centroids(s.filter(F.col("grp").isin(*CORPORA)), DIM).select(F.col("grp").alias("cluster"), "centroid")
+    x = s.filter(F.col("grp").isin("miviludes_criteria", "emergent_entities")).join(F.broadcast(c)).select(F.col("grp").alias("named"), "id", "cluster", F.round(V.cosine("vec", "centroid"), 9).alias("cos"))
+    best = x.groupBy("named", "id").agg(F.max_by(F.struct("cluster", "cos"), F.struct("cos", F.negate(F.ascii("cluster")))).alias("b")).select("named", "id", "b.*")
+    place = F.row_number().over(Window.partitionBy("named").orderBy(F.desc("cos"), "id"))
+    return best.select("named", "id", "cluster", F.round("cos", 6).alias("cosine"), (F.col("cos") >= 0.3).alias("member"), place.cast("long").alias("place"))

@@ -605,3 +605,60 @@ def titled_sources(spark, d):
     """Sources of the mixture with their share, which must be known."""
     known = table(spark, d, "mix_targets").select("source", F.col("target_share").alias("title"))
     return titled(table(spark, d, "documents").select("source").distinct().join(F.broadcast(known.select("source")), "source", "left_semi"), known, "source", "title")
+
+
+# --- selections and what is left to do --------------------------------------------------------------------------------
+
+
+@query("""with p as (select document_id, sha256(string_agg(page_number || ':' || coalesce(text, ''), chr(10) order by page_number)) as digest from (select distinct on (document_id, page_number) document_id, page_number, text from page_record where document_id is not null and page_number is not null order by document_id, page_number, written_at) group by 1), s as (select distinct document_id, pages_jsonl_sha256 as stored from stage1_text_integrity) select document_id, p.digest, case when p.digest is null then 'gone' when stored is null then 'new' when stored = p.digest then 'same' else 'changed' end as state from p full join s using (document_id)""")
+def verified_rebuild(spark, d):
+    """Digests of documents rebuilt from their pages beside the stored ones."""
+    p = M.first_of(table(spark, d, "page_record").filter("document_id is not null and page_number is not null"), ["document_id", "page_number"], [F.col("written_at")])
+    line = F.concat_ws(":", "page_number", F.coalesce("text", F.lit("")))
+    digest = p.groupBy("document_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", line.alias("t")))), lambda x: x["t"]), "\n"), 256).alias("digest"))
+    s = table(spark, d, "stage1_text_integrity").select("document_id", F.col("pages_jsonl_sha256").alias("stored")).distinct()
+    state = F.when(F.col("digest").isNull(), "gone").when(F.col("stored").isNull(), "new").when(F.col("stored") == F.col("digest"), "same").otherwise("changed")
+    return digest.join(s, "document_id", "full").select("document_id", "digest", state.alias("state"))
+
+
+@query("""with a as (select document_id, chunk_index, archive_line, 'first' as run from (select distinct document_id, chunk_index, archive_line from expression_translations_embedded) where archive_line % 2 = 0), b as (select document_id, chunk_index, archive_line, 'second' from (select distinct document_id, chunk_index, archive_line from expression_translations_embedded) where archive_line % 3 = 0), u as (select * from a union all select * from b),
+r as (select *, row_number() over (partition by document_id, run order by md5(run || ':' || archive_line), archive_line) as k from u where document_id is not null) select document_id, run, archive_line, document_id || '-' || run || '-' || k as row_id from r where k <= 3""")
+def review_packet(spark, d):
+    """Rows of two runs put together, at most three of each document and run, drawn by hash, under ids."""
+    e = table(spark, d, "expression_translations_embedded").filter("document_id is not null").select("document_id", "archive_line").distinct()
+    u = e.filter("archive_line % 2 = 0").withColumn("run", F.lit("first")).unionByName(e.filter("archive_line % 3 = 0").withColumn("run", F.lit("second")))
+    k = F.row_number().over(Window.partitionBy("document_id", "run").orderBy(F.md5(F.concat_ws(":", "run", "archive_line")), "archive_line"))
+    return u.withColumn("k", k).filter("k <= 3").select("document_id", "run", "archive_line", F.concat_ws("-", "document_id", "run", "k").alias("row_id"))
+
+
+@query("select p_partkey, len(list_filter(['a', 'promo', '3'], lambda m: contains(lower(p_name || ' ' || p_type), m))) > 0 as routed from part")
+def routed_titles(spark, d):
+    """Titles that hold one of the markers."""
+    t = F.lower(F.concat_ws(" ", "p_name", "p_type"))
+    return table(spark, d, "part").select("p_partkey", F.exists(F.array(*[F.lit(m) for m in ("a", "promo", "3")]), lambda m: F.contains(t, m)).alias("routed"))
+
+
+@query("""with p as (select distinct document_id, page_number from page_record where document_id is not null), r as (select distinct document_id, page_number from integrity_regions) select p.document_id, count(*) as pages, count(r.page_number) as done, count(*) - count(r.page_number) as pending from p left join r using (document_id, page_number) group by p.document_id""")
+def pending_by_document(spark, d):
+    """How many pages of each document are done and how many are left."""
+    keys = ["document_id", "page_number"]
+    p = table(spark, d, "page_record").filter("document_id is not null").select(*keys).distinct()
+    r = table(spark, d, "integrity_regions").select(*keys).distinct().withColumn("is_done", F.lit(1))
+    g = p.join(r, keys, "left").groupBy("document_id").agg(F.count("*").alias("pages"), F.count("is_done").alias("done"))
+    return g.withColumn("pending", F.col("pages") - F.col("done"))
+
+
+@query("""with c as (select distinct document_id, chunk_index, lower(text) as t from chunk where text is not null), w as (select document_id, chunk_index, unnest(regexp_extract_all(t, '\\p{L}+')) as term from c) select term, count(*) as occurrences, count(distinct document_id || ':' || chunk_index) as chunks, count(distinct document_id) as documents from w where term in (select distinct lower(label) from shared_space where source_dataset in ('concept_backbone', 'conceptnet_concepts', 'structural_concepts') and label is not null) group by term""")
+def term_counts(spark, d):
+    """How often the terms of the reference lists occur in the chunks, each time counting."""
+    c = table(spark, d, "chunk").filter("text is not null").select("document_id", "chunk_index", F.lower("text").alias("t")).distinct()
+    terms = table(spark, d, "shared_space").filter(F.col("source_dataset").isin("concept_backbone", "conceptnet_concepts", "structural_concepts") & F.col("label").isNotNull()).select(F.lower("label").alias("term")).distinct()
+    w = c.select("document_id", "chunk_index", F.explode(F.regexp_extract_all("t", F.lit(r"\p{L}+"), F.lit(0))).alias("term")).join(terms, "term", "left_semi")
+    return w.groupBy("term").agg(F.count("*").alias("occurrences"), F.countDistinct(F.concat_ws(":", "document_id", "chunk_index")).alias("chunks"), F.countDistinct("document_id").alias("documents"))
+
+
+@query("select cell, folded, kept from (select source_dataset as cell, lower(label) as folded, first(label order by point_id, label) as kept from (select distinct point_id, source_dataset, label from shared_space where label is not null and source_dataset is not null) group by 1, 2)")
+def first_spellings(spark, d):
+    """The first spelling of each name within its cell."""
+    s = table(spark, d, "shared_space").filter("label is not null and source_dataset is not null").select("point_id", F.col("source_dataset").alias("cell"), "label").distinct()
+    return s.groupBy("cell", F.lower("label").alias("folded")).agg(F.min_by("label", F.struct("point_id", "label")).alias("kept"))
