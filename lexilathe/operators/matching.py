@@ -58,3 +58,23 @@ def first_reason(reasons: list[tuple[str, Column]]) -> Column:
     for name, condition in reversed(reasons):
         out = F.when(condition, F.lit(name)).otherwise(out)
     return out
+
+
+def kept_in_order(rows: DataFrame, by: list[str], part: str, order: str, text: str, most: int = 4) -> DataFrame:
+    """(by, part, order, text, state) of rows gone through in order of part and order within each group: `repeated` if
+    the text was kept before, else `over` if its part has kept `most` already, else `kept`. A text that was over its
+    part's number isn't remembered, so a later part may keep it. A group's rows meet in one fold in the JVM: groups are
+    documents. A null text is a text of its own."""
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(None).cast(rows.schema[part].dataType).alias("part"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, x):
+        key = F.coalesce(F.concat(F.lit("="), x["t"]), F.lit(""))
+        n = F.when(acc["part"].eqNullSafe(x["p"]), acc["n"]).otherwise(0)
+        state = F.when(F.array_contains(acc["seen"], key), "repeated").when(n >= most, "over").otherwise("kept")
+        kept = state == "kept"
+        return F.struct(F.when(kept, F.concat(acc["seen"], F.array(key))).otherwise(acc["seen"]).alias("seen"), x["p"].alias("part"), (n + kept.cast("int")).alias("n"), F.concat(acc["out"], F.array(state)).alias("out"))
+
+    grouped = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(part).alias("p"), F.col(order).alias("o"), F.col(text).alias("t")))).alias("x"))
+    states = grouped.withColumn("s", F.aggregate("x", start, step, lambda acc: acc["out"]))
+    z = states.select(*by, F.explode(F.arrays_zip("x", "s")).alias("z"))
+    return z.select(*by, F.col("z.x.p").alias(part), F.col("z.x.o").alias(order), F.col("z.x.t").alias(text), F.col("z.s").alias("state"))

@@ -662,3 +662,10 @@ def first_spellings(spark, d):
     """The first spelling of each name within its cell."""
     s = table(spark, d, "shared_space").filter("label is not null and source_dataset is not null").select("point_id", F.col("source_dataset").alias("cell"), "label").distinct()
     return s.groupBy("cell", F.lower("label").alias("folded")).agg(F.min_by("label", F.struct("point_id", "label")).alias("kept"))
+
+
+@query()
+def kept_expressions(spark, d):
+    """Expressions of each document in order: kept, repeated, or over their chunk's number (a fold; tested by a loop)."""
+    e = table(spark, d, "expression_translations_embedded").filter("document_id is not null").select("document_id", "chunk_index", "archive_line", "text_fr").distinct()
+    return M.kept_in_order(e, ["document_id"], "chunk_index", "archive_line", "text_fr")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexilathe.functions import text as X
 from lexilathe.operators import geometry as G
 from lexilathe.operators import groups as R
+from lexilathe.operators import matching as M
 from lexilathe.operators import sampling as S
 from lexilathe.operators import spans as P
 from lexilathe.operators import statistics as T
@@ -111,6 +112,24 @@ def test_spans_without_overlap_equal_a_loop(spark, tmp_path):
         assert got[u] == {k[1] for k in kept}
 
 
+def test_kept_in_order_equals_a_loop(spark):
+    rng = random.Random(5)
+    rows = [("ab"[i % 2], rng.choice([None, 0, 1, 2]), i, rng.choice(["x", "y", "z", "w", "v", None])) for i in range(120)]
+    df = spark.createDataFrame(rows, "d string, c int, i long, t string")
+    got = {(r.d, r.i): r.state for r in M.kept_in_order(df, ["d"], "c", "i", "t", 2).collect()}
+    want = {}
+    for d in "ab":
+        seen, n = set(), {}
+        for _, c, i, t in sorted((r for r in rows if r[0] == d), key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+            state = "repeated" if t in seen else "over" if n.get(c, 0) >= 2 else "kept"
+            if state == "kept":
+                seen.add(t)
+                n[c] = n.get(c, 0) + 1
+            want[d, i] = state
+    assert got == want and set(got.values()) == {"kept", "repeated", "over"}
+    assert M.kept_in_order(df.limit(0), ["d"], "c", "i", "t").count() == 0
+
+
 def test_turns(spark):
     t = "Head\nInterviewee: lost\nInterviewer: Who?\nINTERVIEWEE: Me.\n---\nInterview notes: none\nInterviewer:\nParticipant: End"
     got = [(r.turn_no, r.role, r.content) for r in P.turns(texts(spark, t, None, "", "no labels"), ["id"], "t").orderBy("id", "turn_no").collect()]
