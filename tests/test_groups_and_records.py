@@ -3,16 +3,20 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexilathe.functions import text as X
+from lexilathe.functions import vectors as V
 from lexilathe.operators import geometry as G
 from lexilathe.operators import groups as R
 from lexilathe.operators import matching as M
+from lexilathe.operators import nearest as N
 from lexilathe.operators import sampling as S
 from lexilathe.operators import spans as P
 from lexilathe.operators import statistics as T
+from lexilathe.plans import group_queries as Q
 from lexilathe.plans.record_queries import spans_without_overlap, titled
 from lexilathe.sources import files
 
@@ -56,6 +60,60 @@ def test_beside_in_blocks_equals_a_broadcast(spark, monkeypatch):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_best_equals_all_pairs(spark, monkeypatch):
+    """Copies, ties, uneven lengths, a null group and invalid rows; in several chunks, tiles and batches of queries."""
+    for name, most in (("CHUNK", 300), ("BATCH", 40), ("ROWS", 64), ("QUERIES", 16)):
+        monkeypatch.setattr(N, name, most)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 4)).round(1).astype(np.float32) * rng.choice([1, 1, 1, 1e-6, 1e9], size=(700, 1)).astype(np.float32)
+    x[100:160] = x[7]
+    x[300:340] = 2 * x[8]
+    data = [(i, [None, "a", "b"][i % 3], [float(c) for c in v]) for i, v in enumerate(x)]
+    bad = [(900, "a", None), (901, "a", [0.0] * 4), (902, "a", [1.0, None, 1.0, 1.0]), (903, "a", [float("nan"), 1.0, 1.0, 1.0]), (904, "a", [1.0] * 3), (905, "b", [])]
+    df = N.packed(spark.createDataFrame(data + bad, "id long, grp string, vec array<float>"), "vec", 4)
+    live = [d for d in data if any(d[2])]
+    assert df.count() == len(live)
+    q = df.filter("id % 7 = 0").select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
+    for k in (1, 3):
+        found = N.best(df, q, 4, k, "euclidean", "cosine").withColumn("value", F.round("value", 9)).collect()
+        for measure, sign in (("euclidean", 1), ("cosine", -1)):
+            got = {}
+            for r in found:
+                if r.measure == measure:
+                    got.setdefault((r.q_id, r.grp), []).append((sign * r.value, r.id))
+            got = {key: sorted(v)[:k] for key, v in got.items()}
+            pairs = spark.createDataFrame(live, "id long, grp string, vec array<double>")
+            every = G.query_pairs(pairs, pairs.filter("id % 7 = 0").select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec")))
+            value = F.round(getattr(V, measure)("q_vec", "vec"), 9)
+            want = {}
+            for r in every.select("q_id", "grp", "id", value.alias("value")).collect():
+                want.setdefault((r.q_id, r.grp), []).append((sign * r.value, r.id))
+            assert got == {key: sorted(v)[:k] for key, v in want.items()}
+
+
+def point_table(spark, tmp_path, n, groups):
+    """A small shared_space of n points in these groups, in two lengths."""
+    rng = np.random.default_rng(3)
+    rows = [(i, groups[i % len(groups)], None, None, None, f"d{i % 5}:{i}", f" l{i % 9} " if i % 4 else None, None, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(n, 64)))]
+    schema = "point_id long, source_dataset string, epistemic_status string, attribution string, point_role string, key string, label string, mention_distribution map<string,int>, vectors array<float>"
+    spark.createDataFrame(rows + rows[:5], schema).write.parquet(f"{tmp_path}/shared_space.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["best_corpus"])
+def test_nearest_tables_form_no_pairs(spark, tmp_path, monkeypatch, name):
+    """The same rows as its SQL, and no join beside every query."""
+    import duckdb
+
+    d = point_table(spark, tmp_path, 300, ["literature", "miviludes", "interviews", "miviludes_criteria", "emergent_entities"])
+    monkeypatch.setattr(G, "beside", lambda *a: pytest.fail("pairs are formed"))
+    con = duckdb.connect()
+    con.execute(f"create view shared_space as select * from '{d}/shared_space.parquet/*.parquet'")
+    got = Q.QUERIES[name](spark, d)
+    want = con.sql(f"select {', '.join(got.columns)} from ({Q.SQL[name]})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and want
+
+
 def test_first_by_hash_equals_a_full_sort(spark):
     rows = [("a" if i % 3 else "b", i, 7 if i % 3 else 200) for i in range(300)]
     df = spark.createDataFrame(rows, "g string, id long, take long")
