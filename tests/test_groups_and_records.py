@@ -94,13 +94,13 @@ def test_best_equals_all_pairs(spark, monkeypatch):
 def point_table(spark, tmp_path, n, groups):
     """A small shared_space of n points in these groups, in two lengths."""
     rng = np.random.default_rng(3)
-    rows = [(i, groups[i % len(groups)], None, None, None, f"d{i % 5}:{i}", f" l{i % 9} " if i % 4 else None, None, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(n, 64)))]
+    rows = [(i, groups[i // 4 % len(groups)], None, None, None, f"d{i % 5}:{i}", f" l{i % 9} " if i % 4 else None, None, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(n, 64)))]
     schema = "point_id long, source_dataset string, epistemic_status string, attribution string, point_role string, key string, label string, mention_distribution map<string,int>, vectors array<float>"
     spark.createDataFrame(rows + rows[:5], schema).write.parquet(f"{tmp_path}/shared_space.parquet")
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["best_corpus"])
+@pytest.mark.parametrize("name", ["best_corpus", "anchor_retrieval"])
 def test_nearest_tables_form_no_pairs(spark, tmp_path, monkeypatch, name):
     """The same rows as its SQL, and no join beside every query."""
     import duckdb
