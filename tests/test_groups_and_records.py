@@ -100,7 +100,7 @@ def point_table(spark, tmp_path, n, groups):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["best_corpus", "anchor_retrieval", "exemplar_neighbours"])
+@pytest.mark.parametrize("name", ["best_corpus", "anchor_retrieval", "exemplar_neighbours", "review_list"])
 def test_nearest_tables_form_no_pairs(spark, tmp_path, monkeypatch, name):
     """The same rows as its SQL, and no join beside every query."""
     import duckdb
